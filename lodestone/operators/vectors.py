@@ -1,0 +1,27 @@
+"""Vector operators: dot products and top-k scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Dot product in double, added from left to right."""
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+
+
+def semantic_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    query = rows.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = rows.crossJoin(F.broadcast(query)).select("vec_id", dot(F.col("q"), F.col("embedding")).alias("score"))
+    return scored.filter("score >= 0.1").orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+SEMANTIC_TOPK_SQL = """
+SELECT e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+WHERE list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= 0.1
+ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10
+"""
