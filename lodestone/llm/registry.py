@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat_format, packing, sharding
+from lodestone.llm import chat_format, decontaminate, packing, sharding, topk, url_filter
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_top_k": topk.op3_top_k,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op9_sharding": sharding.op9_sharding,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op3_top_k": topk.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
 }
