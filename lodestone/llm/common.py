@@ -69,31 +69,34 @@ def ascii_lower(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off - off[0]), pa.py_buffer(low.tobytes()))
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lowered texts: a dictionary array over
-    all words, and each text's offset into it (one more at the end)."""
-    low = ascii_lower(texts)
+def split_runs(low: pa.Array, is_gap: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The runs of bytes of each text that ``is_gap`` (by byte) doesn't part.
+
+    A dictionary array over all runs, each text's offset into it (one more at the
+    end), and each run's first byte in the texts' data.
+    """
     n = len(low)
     _, offsets, data = low.buffers()
     off = np.frombuffer(offsets, np.int64, count=n + 1)
-    raw = np.frombuffer(data, np.uint8) if data is not None and off[-1] else np.zeros(0, np.uint8)
-    gap = np.zeros(len(raw) + 2, bool)
-    gap[0] = gap[-1] = True
-    gap[1:-1] = _IS_SPACE[raw]
-    # a text's first byte begins a word whatever stands before it
+    raw = np.frombuffer(data, np.uint8)[: off[-1]] if data is not None and off[-1] else np.zeros(0, np.uint8)
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = is_gap[raw]
     inner = ~gap[1:-1]
-    begin = inner & gap[:-2]
+    begin, end = inner & gap[:-2], inner & gap[2:]
+    # a text's first byte begins a run whatever stands before it
     heads = off[:-1][off[:-1] < off[1:]]
     begin[heads] = inner[heads]
-    end = inner & gap[2:]
     tails = heads[1:] - 1
     end[tails] = inner[tails]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    keep = np.flatnonzero(inner)
-    lengths = e - s
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(starts), pa.py_buffer(raw[keep].tobytes()))
-    return words.dictionary_encode(), np.searchsorted(s, off)
+    starts = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)
+    runs = pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(starts), pa.py_buffer(raw[inner].tobytes()))
+    return runs.dictionary_encode(), np.searchsorted(s, off), s
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z-lowered texts, and each text's offset."""
+    return split_runs(ascii_lower(texts), _IS_SPACE)[:2]
 
 
 _IS_SPACE = np.zeros(256, bool)
@@ -116,3 +119,11 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     for i in range(width):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + word_hashes[i : i + n]) if n > 0 else h
     return h
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> list[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``most`` bytes of text: bounds a worker's memory."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
