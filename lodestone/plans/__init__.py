@@ -1 +1 @@
-
+"""Settings, caches and the driver-side composition of queries."""

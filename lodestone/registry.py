@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.operators import vectors
+from lodestone.queries import notes, texts, vectors
 
-QUERIES = {
-    "semantic_topk": vectors.semantic_topk_query,
-}
-
-ORACLE_SQL = {
-    "semantic_topk": vectors.SEMANTIC_TOPK_SQL,
-}
+_ALL = vectors.QUERIES | texts.QUERIES | notes.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
