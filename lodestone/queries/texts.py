@@ -245,7 +245,7 @@ def formatters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FORMATTERS_SQL = """WITH e AS (SELECT event_id, ts, event_id * event_id * 37 % 5000000000 AS n, event_id * event_id * 37 % 5000000000 % 10000000 AS ms FROM events),
 s AS (SELECT *, floor(ms / 1000 + 0.5)::BIGINT AS s FROM e)
-SELECT event_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1024 ** 3 THEN printf('%.1f MB', n / 1024.0 ** 2) ELSE printf('%.1f GB', n / 1024.0 ** 3) END AS bytes,
+SELECT event_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n < 1024 ** 2 THEN printf('%.1f KB', round(n / 1024.0, 1)) WHEN n < 1024 ** 3 THEN printf('%.1f MB', round(n / 1024.0 ** 2, 1)) ELSE printf('%.1f GB', round(n / 1024.0 ** 3, 1)) END AS bytes,
   CASE WHEN s < 60 THEN s || 's' ELSE s // 60 || 'm ' || s % 60 || 's' END AS elapsed, printf('%d%%', event_id % 100) AS percent,
   CASE WHEN event_id % 7 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'Never' END AS at FROM s"""
 
