@@ -11,12 +11,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.shipping import ship
+
 #: White space that ends a word: space and \\x09-\\x0D.
 _SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
     lineage, and a lost executor costs no more than a reread."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

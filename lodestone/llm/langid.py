@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 from lodestone.llm.crf import Model, fit
 from lodestone.llm.tagging import bounded, remainder, runs, tag, word_spans
+from lodestone.shipping import ship
 
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, spans array<struct<lang: string, start: long, length: long>>"
@@ -85,6 +86,7 @@ def predict(texts: pa.Array, model: Model | None) -> pa.StructArray:
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", column: str = "_lang") -> DataFrame:
     """``docs`` with a struct of lang_pred, score and spans."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import text_slices
 from lodestone.llm.crf import Model, marginals, words_of
+from lodestone.shipping import ship
 
 _SPAN = 100
 
@@ -45,6 +46,7 @@ def word_spans(docs: DataFrame, label: str, most: int) -> list[tuple[str, list[s
                     out.append(" ".join(names[i] for a in starts for i in place[a : e if e - s <= most else a + _SPAN]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["label", "words"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(label).cast("string").alias("label"), "text").mapInArrow(cut, "label string, words string").collect()
     # by content, so that the order in which tasks end doesn't matter
     return sorted((r.label, r.words.split(" ")) for r in rows if r.words)

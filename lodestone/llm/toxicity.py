@@ -31,6 +31,7 @@ from lodestone.llm.common import table
 from lodestone.llm.crf import Model, fit, marginals
 from lodestone.llm.langid import array_slices
 from lodestone.llm.tagging import bounded, remainder, runs, tag, word_spans
+from lodestone.shipping import ship
 
 RESULT = "score double, spans array<struct<start: long, length: long, probability: double>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("probability", pa.float64())]))
@@ -139,6 +140,7 @@ def score(texts: pa.Array, model: Model | float) -> pa.StructArray:
 
 def score_documents(docs: DataFrame, model: Model | float, text: str = "text", column: str = "_toxicity") -> DataFrame:
     """``docs`` with a struct of score and spans."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
