@@ -48,9 +48,8 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finalizer, over uint64."""
-    x = x.astype(np.uint64, copy=True)
+def mix_in_place(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finalizer, over an array of uint64 that may be overwritten."""
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -59,6 +58,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    return mix_in_place(x.astype(np.uint64, copy=True))
+
+
 def ascii_lower(texts: pa.Array) -> pa.Array:
     """``texts`` with A-Z lower-cased, other letters as they are; null: empty.
 
