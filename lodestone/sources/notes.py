@@ -28,7 +28,7 @@ def scan_vault(spark: SparkSession, root: str) -> DataFrame:
     """file, mtime (epoch ms), content of every note under ``root``; read each time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.filter(is_note(F.col("path"))).select(
-        relative(F.col("path"), root).alias("file"), F.unix_millis("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content")
+        relative(F.col("path"), root).alias("file"), F.unix_millis("modificationTime").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     )
 
 
