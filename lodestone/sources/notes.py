@@ -25,7 +25,10 @@ def relative(path, root: str) -> F.Column:  # noqa: ANN001
 
 
 def scan_vault(spark: SparkSession, root: str) -> DataFrame:
-    """file, mtime (epoch ms), content of every note under ``root``; read each time."""
+    """file, mtime (epoch ms), content of every note under ``root``; read each time.
+
+    Files of no bytes aren't listed: an emptied note leaves the index as a deleted one does.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.filter(is_note(F.col("path"))).select(
         relative(F.col("path"), root).alias("file"), F.unix_millis("modificationTime").alias("mtime"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")

@@ -69,11 +69,11 @@ def test_store_round_trip_and_damage(spark, tmp_path):
 
 
 def test_vault_scan(spark, tmp_path):
-    for name, text in (("a.md", "A"), ("sub/b.TXT", "B"), ("c.png", "P"), ("d.markdown", "")):
+    for name, text in (("a.md", "A"), ("sub/b.TXT", "B"), ("c.png", "P"), ("d.markdown", "D")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     found = {r.file: r.content for r in notes.scan_vault(spark, str(tmp_path)).collect()}
-    assert found == {"a.md": "A", "sub/b.TXT": "B", "d.markdown": ""}
+    assert found == {"a.md": "A", "sub/b.TXT": "B", "d.markdown": "D"}
     assert [r.path for r in notes.attachments(spark, str(tmp_path)).collect()] == ["c.png"]
     assert notes.folder_size(spark, str(tmp_path)).first().bytes == 3
 
