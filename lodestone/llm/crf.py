@@ -76,7 +76,7 @@ class Model:
     def emissions(self, types: pa.Array) -> np.ndarray:
         """Scores of distinct words, by word and label."""
         found, whose, hashes = features(types)
-        out = np.stack([np.bincount(whose, weights=self.weights[found, k], minlength=len(types)) for k in range(len(self.labels))], axis=1)
+        out = np.stack([np.bincount(whose, weights=self.weights[found, k], minlength=len(types)) for k in range(len(self.labels))], axis=1).astype(float)
         at, known = lexicon_places(self.lexicon, hashes)
         out[known] += self.lexicon_weights[self.lexicon_of[at[known]]]
         return out
