@@ -1,15 +1,23 @@
-"""The index as snapshots in a folder: each write makes a new one, readers take the
-last that is complete. Old passages stay readable until the new snapshot is there."""
+"""The index as snapshots in a folder, in buckets of files.
+
+A snapshot is a manifest: for each bucket, the version that wrote it last. An update
+writes only the buckets that it changes, then a manifest that points at these and at
+the old ones otherwise. Readers take the last manifest; it is renamed into place when
+all else is there, so old passages stay readable until then.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the version of the candidates' rules; older passages are made anew.
 HIGHLIGHT_VERSION = 1
+#: Parts of an index that are rewritten on their own.
+BUCKETS = 64
 CANDIDATE = (
     "struct<phrase: string, field: string, sentence_id: int, start: int, `end`: int, words: int, has_noun: boolean, has_verb: boolean, "
     "has_expression: boolean, adjective_only: boolean, quality: double, vector: array<smallint>>"
@@ -24,33 +32,74 @@ class DamagedIndex(Exception):
     """An index folder that holds no complete or no consistent snapshot."""
 
 
-def _snapshots(spark: SparkSession, root: str) -> list[int] | None:
-    """Numbers of complete snapshots; None if the folder never was."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+class _Folder:
+    """A folder of any store that Spark can write."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.jvm = spark._jvm
+        self.fs = self.path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, *parts: str):  # noqa: ANN202
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def names(self, *parts: str) -> list[str] | None:
+        path = self.path(*parts)
+        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else None
+
+    def read(self, *parts: str) -> str:
+        with_lines = self.spark.read.text(str(self.path(*parts)), wholetext=True)
+        return with_lines.first().value
+
+    def write(self, content: str, *parts: str) -> None:
+        """Written under another name, then renamed."""
+        draft = self.path(*parts[:-1], f".{parts[-1]}.draft")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        self.fs.rename(draft, self.path(*parts))
+
+
+def bucket_of(file: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(file), F.lit(buckets)).cast("int")
+
+
+def manifest(spark: SparkSession, root: str) -> tuple[int, dict[int, int]] | None:
+    """(number, bucket: version that wrote it) of the last snapshot; None if there
+    never was an index."""
+    folder = _Folder(spark, root)
+    names = folder.names()
+    if names is None:
         return None
-    found = [(s.getPath(), re.fullmatch(r"v(\d+)", s.getPath().getName())) for s in fs.listStatus(path)]
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(m[1]) for p, m in found if m and fs.exists(done(p, "_SUCCESS")))
+    numbers = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n)))
+    if not numbers:
+        raise DamagedIndex(f"{root} holds no complete snapshot")
+    found = json.loads(folder.read(f"manifest-{numbers[-1]:09d}.json"))
+    return numbers[-1], {int(b): v for b, v in found.items()}
 
 
-def load(spark: SparkSession, root: str) -> DataFrame:
-    """The last complete snapshot; no rows if there never was an index."""
-    found = _snapshots(spark, root)
-    if found is None:
+def load(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame:
+    """The last snapshot, or some buckets of it; no rows if there never was an index."""
+    found = manifest(spark, root)
+    wanted = {b: v for b, v in (found[1] if found else {}).items() if buckets is None or b in buckets}
+    if not wanted:
         return spark.createDataFrame([], SCHEMA)
-    if not found:
-        raise DamagedIndex(f"{root} holds no complete snapshot")
-    return spark.read.schema(SCHEMA).parquet(f"{root}/v{found[-1]:09d}")
+    return spark.read.schema(SCHEMA).parquet(*[f"{root}/v{v:09d}/bucket={b}" for b, v in sorted(wanted.items())])
 
 
-def save(index: DataFrame, root: str) -> int:
-    """Write a new snapshot; its number. Spark marks it complete when all files are."""
+def save(index: DataFrame, root: str, buckets: list[int] | None = None) -> int:
+    """Write a new snapshot: all of it, or ``buckets`` with the others as they were.
+    ``index`` then holds the rows of these buckets alone. Returns the snapshot's number."""
     spark = index.sparkSession
-    number = ((_snapshots(spark, root) or [0])[-1]) + 1
-    names = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|int|long|array))", SCHEMA)][:11]
-    index.select(*names).write.mode("overwrite").parquet(f"{root}/v{number:09d}")
+    folder = _Folder(spark, root)
+    before = manifest(spark, root) if folder.names() else None
+    number = before[0] + 1 if before else 1
+    columns = [f.name for f in spark.createDataFrame([], SCHEMA).schema]
+    placed = index.select(*columns).withColumn("bucket", bucket_of(F.col("file")))
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{number:09d}")
+    fresh = {int(n.split("=")[1]): number for n in folder.names(f"v{number:09d}") or [] if n.startswith("bucket=")}
+    kept = {b: v for b, v in before[1].items() if b not in buckets} if before and buckets is not None else {}
+    folder.write(json.dumps(kept | fresh), f"manifest-{number:09d}.json")
     return number
 
 

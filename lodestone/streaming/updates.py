@@ -41,16 +41,18 @@ def net_changes(events: DataFrame) -> DataFrame:
 
 
 def apply_batch(events: DataFrame, root: str, **models: object) -> bool:
-    """Apply a batch of events to the index in ``root``; whether anything was written."""
-    spark = events.sparkSession
-    index = index_store.load(spark, root)
+    """Apply a batch of events to the index in ``root``; whether anything was written.
+
+    Only the buckets of the batch's files are read and written.
+    """
     last = net_changes(events)
+    buckets = [r[0] for r in last.select(index_store.bucket_of(F.col("file"))).distinct().collect()]  # at most BUCKETS
+    index = index_store.load(events.sparkSession, root, buckets)
     notes = last.filter(F.col("event") != "delete").select("file", "mtime", "content")
-    near = index.join(last.select("file"), "file", "left_semi")
-    actions = I.classify(notes, near)
+    actions = I.classify(notes, index.join(last.select("file"), "file", "left_semi"))
     if I.is_idle(actions):
         return False
-    index_store.save(I.apply_changes(index, notes, actions, **models), root)
+    index_store.save(I.apply_changes(index, notes, actions, **models), root, buckets)
     return True
 
 

@@ -63,7 +63,7 @@ def test_store_round_trip_and_damage(spark, tmp_path):
     assert index_store.require_valid(stored, 64) is stored
     with pytest.raises(index_store.DamagedIndex):
         index_store.require_valid(stored.withColumn("embedding", F.slice("embedding", 1, 3)), 64)
-    (tmp_path / "torn" / "v000000001").mkdir(parents=True)
+    (tmp_path / "torn" / "v000000001").mkdir(parents=True)  # without its manifest
     with pytest.raises(index_store.DamagedIndex):
         index_store.load(spark, str(tmp_path / "torn"))
 
@@ -75,7 +75,7 @@ def test_vault_scan(spark, tmp_path):
     found = {r.file: r.content for r in notes.scan_vault(spark, str(tmp_path)).collect()}
     assert found == {"a.md": "A", "sub/b.TXT": "B", "d.markdown": "D"}
     assert [r.path for r in notes.attachments(spark, str(tmp_path)).collect()] == ["c.png"]
-    assert notes.folder_size(spark, str(tmp_path)).first().bytes == 3
+    assert notes.folder_size(spark, str(tmp_path)).first().bytes == 4
 
 
 def test_statistics_and_health(spark):
@@ -101,6 +101,8 @@ def test_stream_of_events_keeps_the_index(spark, tmp_path):
     write("2.json", ("delete", "b.md", None, None), ("modify", "a.md", 3, "second"))
     assert run() == {"a.md": "second"}
     before = len(list((tmp_path / "index").iterdir()))
+    number, versions = index_store.manifest(spark, root)
+    assert number == 2 and set(versions.values()) <= {1, 2}
     write("3.json", ("modify", "a.md", 3, "second"))
     assert run() == {"a.md": "second"} and len(list((tmp_path / "index").iterdir())) == before
 
