@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialize, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -62,28 +62,33 @@ def _shrunk(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> Data
     """
     dev = F.col("n") * (F.col("good") / F.col("n") - F.col("parent")) ** 2
     even = F.col("parent") * (1 - F.col("parent"))
-    sums = groups.filter("n > 0").agg(
-        F.round(F.coalesce(F.sum(dev), F.lit(0.0)), 9).alias("d"),
-        F.round(F.coalesce(F.sum(even), F.lit(0.0)), 9).alias("e"),
-        F.round(F.coalesce(F.sum(even * F.col("n")), F.lit(0.0)), 9).alias("ne"),
+    sums = (
+        groups.filter("n > 0")
+        .agg(
+            F.round(F.coalesce(F.sum(dev), F.lit(0.0)), 9).alias("d"),
+            F.round(F.coalesce(F.sum(even), F.lit(0.0)), 9).alias("e"),
+            F.round(F.coalesce(F.sum(even * F.col("n")), F.lit(0.0)), 9).alias("ne"),
+        )
+        .first()
     )
     # E[d] = e + rho * (ne - e), rho = 1 / (strength + 1)
-    rho = (F.col("d") - F.col("e")) / (F.col("ne") - F.col("e"))
-    prior = F.when((F.col("ne") > F.col("e")) & (F.col("d") > F.col("e")), F.least(F.lit(most), F.greatest(F.lit(least), 1 / rho - 1))).otherwise(F.lit(most))
-    strength = sums.select(prior.alias("prior"))
-    joined = groups.crossJoin(F.broadcast(strength))  # one row
-    return joined.withColumn("mean", (F.col("parent") * F.col("prior") + F.col("good")) / (F.col("prior") + F.col("n"))).withColumn("strength", F.col("prior") + F.col("n"))
+    spread = sums.ne > sums.e and sums.d > sums.e
+    prior = F.lit(min(most, max(least, (sums.ne - sums.e) / (sums.d - sums.e) - 1)) if spread else most)
+    return groups.withColumn("mean", (F.col("parent") * prior + F.col("good")) / (prior + F.col("n"))).withColumn("strength", prior + F.col("n"))
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, mean, strength, bound from (host, good, n): one row per host seen."""
+    """host, mean, strength, bound from (host, good, n): one row per host seen.
+
+    The driver gets one number per level: the prior's strength.
+    """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("domain", domain).withColumn("suffix", suffix)
-    total = F.sum("good"), F.sum("n")
-    domains = hosts.groupBy("domain", "suffix").agg(total[0].alias("good"), total[1].alias("n"))
-    suffixes = domains.groupBy("suffix").agg(total[0].alias("good"), total[1].alias("n"))
-    whole = suffixes.agg(total[0].alias("g"), total[1].alias("m")).select(F.coalesce(F.try_divide("g", "m"), F.lit(0.5)).alias("parent"))
-    top = _shrunk(suffixes.crossJoin(F.broadcast(whole)))  # one row
+    total = F.sum("good").alias("good"), F.sum("n").alias("n")
+    hosts = materialize(outcomes.groupBy("host").agg(*total).withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
+    domains = hosts.groupBy("domain", "suffix").agg(*total)
+    suffixes = domains.groupBy("suffix").agg(*total)
+    whole = suffixes.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(0.5))).first()[0]
+    top = _shrunk(suffixes.withColumn("parent", F.lit(whole)))
     mid = _shrunk(domains.join(top.select("suffix", F.col("mean").alias("parent")), "suffix"))
     low = _shrunk(hosts.join(mid.select("domain", F.col("mean").alias("parent")), "domain"))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
