@@ -206,7 +206,28 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_LINKS_SQL = """SELECT page_id, target, count(*) AS count FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL"""
 
+def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from a map of maps per page; those that count nothing go."""
+    targets = F.create_map(F.lit("a.md"), (F.col("page_id") % 3).cast("int"), F.lit("b.md"), F.lit(2))
+    rows = read(spark, sf_dir, "pages").select(F.create_map(F.col("page_id").cast("string"), targets).alias("links"))
+    return graph.wiki_links(rows)
+
+
+WIKI_SQL = """SELECT page_id::VARCHAR AS source, 'a.md' AS target, (page_id % 3)::INTEGER AS count FROM pages WHERE page_id % 3 <> 0
+UNION ALL SELECT page_id::VARCHAR, 'b.md', 2 FROM pages"""
+
+
+def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node under a pointer in the middle of a drawing of 300 by 300."""
+    nodes = graph_layout(spark, sf_dir).select("id", (F.col("x") * 300).alias("px"), (F.col("y") * 300).alias("py"), F.lit(5.0).alias("radius"))
+    return graph.nearest(nodes, 150.0, 150.0).select("id")
+
+
+NEAREST_SQL = f"SELECT id FROM ({LAYOUT_SQL}) WHERE sqrt((x * 300 - 150) ** 2 + (y * 300 - 150) ** 2) <= 13 ORDER BY id LIMIT 1"
+
 QUERIES = {
+    "wiki_links": (wiki_links, WIKI_SQL),
+    "nearest_node": (nearest_node, NEAREST_SQL),
     "semantic_topk": (semantic_topk, TOPK_SQL),
     "semantic_search_ranked": (semantic_search_ranked, _search_sql(10, 0.1, 0.9, 0.06)),
     "search_in_file": (search_in_file, _search_sql(250, 0.0, 1.0, 0.0, f"WHERE file = (SELECT file FROM p WHERE passage_id = {ROW})")),
