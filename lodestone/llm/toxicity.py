@@ -6,10 +6,10 @@ toxic than other documents; all other words are not. The chain is fitted on thes
 words and their neighbours. Forward-backward over a whole text gives each word's
 probability of being toxic; words of one half or more make the offending spans. A
 document's score is a logistic function of the sum, the largest and the mean of
-these probabilities, fitted on the training documents and weighted by how common
+these probabilities (sum and mean of squares), fitted on the training documents and weighted by how common
 each label is.
 
-The model is fitted on a bounded sample: about ``per_label`` documents of each label,
+The model is fitted on a bounded sample, less near copies in it: about ``per_label`` documents of each label,
 of each at most ``words`` words in spans spread over the text.
 
 Cases: null and empty texts, or texts without a word, get the score of no toxic
@@ -42,6 +42,19 @@ def _units(word: str) -> set[str]:
     return {low, *(f"{low[:k]}*" for k in (4, 5) if len(low) >= k)}
 
 
+def without_copies(spans: list[tuple[str, list[str]]], width: int = 5, most: float = 0.3) -> list[tuple[str, list[str]]]:
+    """The sample less near copies: rows of which more than ``most`` of the word runs
+    stand in rows before them. Else a copied text's words would seem common."""
+    seen: set[tuple[str, ...]] = set()
+    kept = []
+    for label, words in spans:
+        runs_ = {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+        if len(runs_ & seen) <= most * len(runs_):
+            kept.append((label, words))
+        seen |= runs_
+    return kept
+
+
 def toxic_words(spans: list[tuple[str, list[str]]], lift: float = 8.0, least: float = 0.01) -> set[str]:
     """Words that they themselves or, if they are rare, a unit of theirs tie to toxic documents."""
     docs = {"0": [], "1": []}
@@ -65,13 +78,17 @@ def toxic_words(spans: list[tuple[str, list[str]]], lift: float = 8.0, least: fl
 
 
 def _summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: 1, log of 1 + the sum, the largest and the mean probability."""
+    """Of each text: 1, log of 1 + the sum, the largest and the mean probability.
+
+    Sum and mean are of squares: else the many words of a long text that are hardly
+    suspect at all would add up.
+    """
     counts = np.diff(offsets)
     out = np.zeros((len(counts), 4))
     out[:, 0] = 1
     full = np.flatnonzero(counts)
     if len(full):
-        total = np.add.reduceat(p, offsets[:-1][full])
+        total = np.add.reduceat(p * p, offsets[:-1][full])
         out[full, 1] = np.log1p(total)
         out[full, 2] = np.maximum.reduceat(p, offsets[:-1][full])
         out[full, 3] = total / counts[full]
@@ -93,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, words: int
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     sample, counts = bounded(marked, "toxic", per_label)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by per_label
-    spans = word_spans(known, "toxic", words)
+    spans = without_copies(word_spans(known, "toxic", words))
     if len({label for label, _ in spans}) < 2:
         return float(counts.get(1, 0) / max(1, sum(counts.values())))
     bad = toxic_words(spans)
