@@ -87,7 +87,7 @@ def rows_of(spark, rows):
 
 def _toxic_corpus(spark):
     random.seed(3)
-    clean = [f"wort{i}" for i in range(300)]
+    clean = ["".join(random.choices("abcdefghij", k=7)) for _ in range(300)]
     docs, labels = [], []
     for i in range(400):
         words = random.choices(clean, k=120)
@@ -99,6 +99,12 @@ def _toxic_corpus(spark):
     return rows_of(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_copies_teach_once():
+    text = [f"{a}{b}" for a in "abcde" for b in "fghij"]
+    rows = [("1", text), ("1", [*text[:-1], "zz"]), ("0", text[::-1]), ("0", ["x"]), ("0", ["x"])]
+    assert toxicity.without_copies(rows) == [rows[0], rows[2], rows[3]]
+
+
 def test_toxic_documents_and_spans(spark):
     docs, labels = _toxic_corpus(spark)
     model = toxicity.train(docs, labels.filter("doc_id < 300"))
@@ -112,10 +118,10 @@ def test_toxic_documents_and_spans(spark):
 def test_toxicity_edge_cases(spark):
     docs, labels = _toxic_corpus(spark)
     model = toxicity.train(docs, labels.unionByName(spark.createDataFrame([(None, 1), (3, None), (9999, 1), (0, 1)], "doc_id long, toxic int")))
-    odd = rows_of(spark, [(1, None), (2, ""), (3, "123"), (None, "rotten rotten badthing vileone"), (4, "wort1 " * 30000 + "rotten"), (5, "x"), (5, "x")]).withColumn("score", F.lit("clash"))
+    odd = rows_of(spark, [(1, None), (2, ""), (3, "123"), (None, "rotten rotten badthing vileone"), (4, "abcdefg " * 30000 + "rotten"), (5, "x"), (5, "x")]).withColumn("score", F.lit("clash"))
     found = toxicity.score_documents(odd, model).collect()
     score = {r.doc_id: r["_toxicity"].score for r in found}
-    assert len(found) == 7 and score[1] == score[2] == score[3] < 0.5 < score[None] and score[4] < 0.5
+    assert len(found) == 7 and score[1] == score[2] == score[3] < 0.5 < score[None] and score[3] < score[4] < score[None]
     assert toxicity.train(docs, labels.filter("toxic = 1")) == 1.0 and toxicity.train(docs, labels.limit(0)) == 0.0
     assert {r["_toxicity"].score for r in toxicity.score_documents(odd, 0.0).collect()} == {0.0}
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
