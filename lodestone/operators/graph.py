@@ -100,7 +100,8 @@ def node_style(nodes: DataFrame, has_query: bool) -> DataFrame:
 
 
 def edge_style(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("alpha", F.greatest(F.lit(0.08), F.col("score") * 0.45))
+    """Links look alike, similar notes by their score. Fixed values."""
+    return edges.withColumn("alpha", F.when(F.col("hard"), 0.38).otherwise(F.greatest(F.lit(0.08), F.col("score") * 0.45)))
 
 
 def nearest(nodes: DataFrame, x: float, y: float, order: str = "id") -> DataFrame:

@@ -98,14 +98,21 @@ def statistics(index: DataFrame) -> DataFrame:
     )
 
 
-def health(state: Column, enabled: Column, has_remote: Column, idle_seconds: Column, done: Column, total: Column) -> Column:
-    """(status, progress): disabled, error, working, stale or healthy. Fixed value: 15 s."""
-    status = (
-        F.when(~enabled, "disabled")
-        .when(state == "error", "error")
-        .when(~has_remote & (idle_seconds > 15), "stale")
-        .when(state.isin("indexing", "starting", "loading"), "working")
-        .otherwise("healthy")
-    )
-    progress = F.when(total > 0, F.least(F.lit(100.0), done / total * 100)).otherwise(F.lit(0.0))
-    return F.struct(status.alias("status"), progress.alias("progress"))
+#: Phases in which the indexer works; seconds until it counts as stopped.
+WORKING_PHASES = ("starting", "loading_model", "downloading_model", "indexing")
+SILENT_SECONDS = 15
+
+
+def health(phase: Column, enabled: Column, has_remote: Column, remote_indexing: Column, stale_files: Column, age_seconds: Column, done: Column, total: Column) -> Column:
+    """(status, stopped, progress). ``healthy``: ready, nothing runs, no file is stale;
+    ``working``: something runs and has been heard of; else ``error``, or ``disabled``
+    if the index is off. Progress in percent is shown while it works."""
+    indexing = F.coalesce(has_remote & remote_indexing, F.lit(False))
+    stale = F.when(has_remote, F.coalesce(stale_files, F.lit(0))).otherwise(0)
+    healthy = (phase == "ready") & ~indexing & (stale == 0)
+    working = indexing | phase.isin(*WORKING_PHASES)
+    stopped = ~has_remote & working & (age_seconds > SILENT_SECONDS)
+    active = working & ~stopped
+    status = F.when(healthy, "healthy").when(active, "working").when(enabled, "error").otherwise("disabled")
+    progress = F.when(active & (total > 0), F.least(F.lit(100.0), done / total * 100))
+    return F.struct(status.alias("status"), stopped.alias("stopped"), progress.alias("progress"))

@@ -225,13 +225,15 @@ VALIDATE_SQL = "SELECT count(*) AS passages, count(*) FILTER (vec_id % 9 = 0) AS
 
 def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    state = F.when(e % 5 == 0, "error").when(e % 5 == 1, "indexing").otherwise("ready")
-    h = index.health(state, e % 7 > 0, e % 3 > 0, e % 30, e % 120, F.lit(100))
-    return read(spark, sf_dir, "events").select("event_id", h["status"].alias("status"), F.round(h["progress"], 6).alias("progress"))
+    phase = F.element_at(F.array(*map(F.lit, ("ready", "indexing", "starting", "error", "offline"))), (e % 5 + 1).cast("int"))
+    h = index.health(phase, e % 7 > 0, e % 3 > 0, e % 11 == 0, e % 4, e % 30, e % 120, F.lit(100))
+    return read(spark, sf_dir, "events").select("event_id", h["status"].alias("status"), h["stopped"].alias("stopped"), F.round(h["progress"], 6).alias("progress"))
 
 
-HEALTH_SQL = """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'disabled' WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 = 0 AND event_id % 30 > 15 THEN 'stale'
-  WHEN event_id % 5 = 1 THEN 'working' ELSE 'healthy' END AS status, least(100.0, event_id % 120)::DOUBLE AS progress FROM events"""
+HEALTH_SQL = """WITH e AS (SELECT event_id AS e, event_id % 3 > 0 AND event_id % 11 = 0 AS indexing, event_id % 5 IN (1, 2) AS phase FROM events),
+s AS (SELECT e, e % 5 = 0 AND NOT indexing AND (e % 3 = 0 OR e % 4 = 0) AS healthy, indexing OR phase AS working, e % 3 = 0 AND (indexing OR phase) AND e % 30 > 15 AS stopped FROM e)
+SELECT e AS event_id, CASE WHEN healthy THEN 'healthy' WHEN working AND NOT stopped THEN 'working' WHEN e % 7 > 0 THEN 'error' ELSE 'disabled' END AS status, stopped,
+  CASE WHEN working AND NOT stopped THEN least(100.0, e % 120)::DOUBLE END AS progress FROM s"""
 
 
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

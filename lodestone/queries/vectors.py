@@ -197,7 +197,7 @@ def edge_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_style(_merged(spark, sf_dir)).select("source", "target", "hard", _r("alpha"))
 
 
-EDGE_STYLE_SQL = f"WITH {EDGES}, {LINKS} SELECT source, target, hard, round(greatest(0.08, 0.45 * score), 6) AS alpha FROM mg"
+EDGE_STYLE_SQL = f"WITH {EDGES}, {LINKS} SELECT source, target, hard, round(CASE WHEN hard THEN 0.38 ELSE greatest(0.08, 0.45 * score) END, 6) AS alpha FROM mg"
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
