@@ -37,11 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no more than a reread."""
-    ship(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, and a lost executor costs no more than a reread. The table goes when the
+    driver ends."""
+    spark = df.sparkSession
+    ship(spark)
+    name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def shuffle_width(spark: SparkSession) -> int:
