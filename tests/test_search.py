@@ -102,3 +102,22 @@ def test_settings_and_sessions(spark):
     assert session.page_limits(0, 10, False) == (10, 40) and session.page_limits(500, 10, True) == (500, 510)
     assert session.step(0, -1, 3) == 2 and session.step(0, 1, 0) == 0
     assert not session.searchable(" a ")
+
+
+def test_matches_equal_a_plain_regex():
+    import random
+    import re
+
+    def plain(text, phrases):
+        taken = []
+        for p in sorted({p.lower(): p for p in reversed(phrases)}.values(), key=len, reverse=True):
+            for m in re.finditer(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", text, re.I):
+                if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
+                    taken.append((m.start(), m.end(), m[0]))
+        return sorted(taken)
+
+    random.seed(1)
+    for _ in range(500):
+        text = "".join(random.choices(["aba", "ABA ", " ", "_", "é", "1", "aba aba", "ſ", ".", "É "], k=random.randrange(30)))
+        phrases = random.choices(["aba", "aba aba", "é aba", "aba aba aba", "ab a"], k=3)
+        assert media.phrase_matches(text, phrases) == plain(text, phrases)
