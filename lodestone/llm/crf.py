@@ -101,15 +101,22 @@ def _expected(scores: np.ndarray) -> np.ndarray:
 
 
 def marginals(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Each word's label probabilities, by forward-backward over whole texts.
+    """Each word's label probabilities, by forward-backward over whole texts."""
+    return forward_backward(scores, offsets, transitions)[0]
+
+
+def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, count_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's label probabilities, and the expected number of each pair of labels
+    over all neighbours (zeros unless asked for).
 
     Texts are cut into blocks that are run side by side. What a block passes on is a
     product of matrices; from these, taken in order, each block's inputs follow, so
-    the result is that of an unbroken run.
+    the result is that of an unbroken run. A text's first word has no transition.
     """
     n, k = scores.shape
+    pairs = np.zeros((k, k))
     if not n:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), pairs
     tie = np.exp(transitions)
     lengths = np.diff(offsets)
     blocks = -(-lengths // BLOCK)
@@ -117,6 +124,7 @@ def marginals(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray)
     count = int(first[-1])
     text = np.repeat(np.arange(len(lengths)), blocks)
     turn = np.arange(count) - first[text]
+    lead = np.flatnonzero(turn == 0)
     begin = offsets[text] + turn * BLOCK
     size = np.minimum(BLOCK, offsets[text + 1] - begin)
     steps = int(size.max())
@@ -131,6 +139,8 @@ def marginals(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray)
         live = slice(None) if inside[t].all() else np.flatnonzero(inside[t])
         now = np.matmul(passed[live], tie) * own[t, live][:, None, :]
         passed[live] = now / now.sum(axis=(1, 2), keepdims=True)
+        if not t:
+            passed[lead] = np.eye(k) * (own[0, lead] / own[0, lead].sum(axis=1, keepdims=True))[:, None, :]
     into, out_of = np.full((count, k), 1 / k), np.full((count, k), 1.0)
     for j in range(1, int(blocks.max(initial=0))):
         at = first[:-1][blocks > j] + j
@@ -144,16 +154,63 @@ def marginals(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray)
     now = into
     for t in range(steps):
         step = now @ tie * own[t]
+        if not t:
+            step[lead] = own[0, lead]
         now = np.where(inside[t][:, None], step / step.sum(axis=1, keepdims=True), now)
         forward[t] = now
     backward = out_of
     for t in range(steps - 1, -1, -1):
+        ahead = own[t] * backward
+        if count_pairs:
+            here = np.flatnonzero(inside[t] & ((turn > 0) | (t > 0)))
+            left, right = (forward[t - 1] if t else into)[here], ahead[here]
+            share = ((left @ tie) * right).sum(axis=1, keepdims=True)
+            pairs += (left / share).T @ right * tie
         forward[t] *= backward  # now the marginals, but for a factor
-        step = (own[t] * backward) @ tie.T
+        step = ahead @ tie.T
         backward = np.where(inside[t][:, None], step / step.sum(axis=1, keepdims=True), backward)
     out = np.empty((n, k))
     out[place] = forward[inside]
-    return out / out.sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True), pairs
+
+
+class Likelihood:
+    """The mean log-likelihood of tagged sequences, less weight decay, by its gradient."""
+
+    def __init__(self, k: int, types: pa.Array, sequences: list[np.ndarray], tags: list[np.ndarray], lexicons: dict[int, np.ndarray], decay: float):
+        found, self.whose, hashes = features(types)
+        lex = np.concatenate([np.zeros(0, np.int64), *lexicons.values()])
+        lex_of = np.concatenate([np.zeros(0, np.int64), *[np.full(len(v), i) for i, v in enumerate(lexicons.values())]])
+        order = np.argsort(hashes[lex])
+        self.lexicon, self.lexicon_of = hashes[lex][order], lex_of[order]
+        at, known = lexicon_places(self.lexicon, hashes)
+        self.known = np.flatnonzero(known)
+        self.list_of = self.lexicon_of[at[self.known]]
+        self.used, self.at_used = np.unique(found, return_inverse=True)
+        self.words, self.gold = np.concatenate(sequences), np.concatenate(tags)
+        self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
+        inner = np.ones(len(self.words), bool)
+        inner[self.offsets[:-1]] = False
+        pairs = np.flatnonzero(inner)
+        self.gold_pairs = np.zeros((k, k))
+        np.add.at(self.gold_pairs, (self.gold[pairs - 1], self.gold[pairs]), 1)
+        self.k, self.types, self.decay = k, len(types), decay
+        self.start = [np.zeros((len(self.used), k)), np.zeros((k, k)), np.zeros((max(1, len(lexicons)), k))]
+
+    def scores(self, params: list[np.ndarray]) -> np.ndarray:
+        by_type = np.stack([np.bincount(self.whose, weights=params[0][self.at_used, j], minlength=self.types) for j in range(self.k)], axis=1)
+        by_type[self.known] += params[2][self.list_of]
+        return by_type[self.words]
+
+    def gradient(self, params: list[np.ndarray]) -> list[np.ndarray]:
+        n, k = len(self.words), self.k
+        p, expected = forward_backward(self.scores(params), self.offsets, params[1], count_pairs=True)
+        off = -p
+        off[np.arange(n), self.gold] += 1
+        by_type = np.stack([np.bincount(self.words, weights=off[:, j], minlength=self.types) for j in range(k)], axis=1)
+        by_bucket = np.stack([np.bincount(self.at_used, weights=by_type[self.whose, j], minlength=len(self.used)) for j in range(k)], axis=1)
+        by_list = np.stack([np.bincount(self.list_of, weights=by_type[self.known, j], minlength=len(params[2])) for j in range(k)], axis=1)
+        return [g / n - self.decay * x for g, x in zip((by_bucket, self.gold_pairs - expected, by_list), params, strict=True)]
 
 
 def fit(labels: list[str], types: pa.Array, sequences: list[np.ndarray], tags: list[np.ndarray], lexicons: dict[int, np.ndarray], rounds: int = 40, rate: float = 0.15, decay: float = 1e-4, extra: dict | None = None) -> Model:
@@ -162,60 +219,14 @@ def fit(labels: list[str], types: pa.Array, sequences: list[np.ndarray], tags: l
     ``sequences``: words, as places in ``types``; ``tags``: the label of each;
     ``lexicons``: places in ``types`` of the words of each lexicon.
     """
-    k = len(labels)
-    found, whose, hashes = features(types)
-    lex = np.concatenate([np.zeros(0, np.int64), *lexicons.values()])
-    lex_of = np.concatenate([np.zeros(0, np.int64), *[np.full(len(v), i) for i, v in enumerate(lexicons.values())]])
-    order = np.argsort(hashes[lex])
-    lexicon, lexicon_of = hashes[lex][order], lex_of[order]
-    at, known = lexicon_places(lexicon, hashes)
-    known = np.flatnonzero(known)
-    used, at_used = np.unique(found, return_inverse=True)
-
-    words, gold = np.concatenate(sequences), np.concatenate(tags)
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
-    inner = np.ones(len(words), bool)
-    inner[offsets[:-1]] = False
-    pairs = np.flatnonzero(inner)
-    gold_pairs = np.zeros((k, k))
-    np.add.at(gold_pairs, (gold[pairs - 1], gold[pairs]), 1)
-    params = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros((max(1, len(lexicons)), k))]
+    goal = Likelihood(len(labels), types, sequences, tags, lexicons, decay)
+    params = goal.start
     moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    n = len(words)
     for turn in range(1, rounds + 1):
-        by_type = np.stack([np.bincount(whose, weights=params[0][at_used, j], minlength=len(types)) for j in range(k)], axis=1)
-        by_type[known] += params[2][lexicon_of[at[known]]]
-        scores = by_type[words]
-        p = marginals(scores, offsets, params[1])
-        # pair marginals from the chain's own conditionals
-        tie = np.exp(params[1])
-        want = _pair_marginals(p, tie, pairs)
-        off = -p
-        off[np.arange(n), gold] += 1
-        g_type = np.stack([np.bincount(words, weights=off[:, j], minlength=len(types)) for j in range(k)], axis=1)
-        g = [
-            np.stack([np.bincount(at_used, weights=g_type[whose, j], minlength=len(used)) for j in range(k)], axis=1) / n - decay * params[0],
-            (gold_pairs - want) / n - decay * params[1],
-            np.stack([np.bincount(lexicon_of[at[known]], weights=g_type[known, j], minlength=len(params[2])) for j in range(k)], axis=1) / n - decay * params[2],
-        ]
-        for x, grad, m, v in zip(params, g, moment, square, strict=True):
+        for x, grad, m, v in zip(params, goal.gradient(params), moment, square, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    weights = np.zeros((BUCKETS, k), np.float32)
-    weights[used] = params[0]
-    return Model(labels, weights, params[1], lexicon, lexicon_of, params[2], extra or {})
-
-
-def _pair_marginals(p: np.ndarray, tie: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Sum of the expected label pairs, fitted to the words' marginals on both sides.
-
-    The pair table of neighbours with marginals p, q under ``tie`` is the one of the
-    form a * tie * b with these margins; a few scaling steps find it.
-    """
-    left, right = p[pairs - 1], p[pairs]
-    a, b = np.ones_like(left), np.ones_like(right)
-    for _ in range(4):
-        a = left / np.maximum(b @ tie.T, 1e-300)
-        b = right / np.maximum(a @ tie, 1e-300)
-    return np.einsum("ni,ij,nj->ij", a, tie, b, optimize=True)
+    weights = np.zeros((BUCKETS, len(labels)), np.float32)
+    weights[goal.used] = params[0]
+    return Model(labels, weights, params[1], goal.lexicon, goal.lexicon_of, params[2], extra or {})

@@ -1,8 +1,8 @@
 """Language identification of words and texts by a linear-chain CRF.
 
 The model is fitted on a bounded sample of the table's own labelled texts: about
-``per_label`` documents of each language, of each at most ``words`` words in spans
-spread over the text. Half of the training sequences join spans of documents in
+``per_label`` documents of each of the ``most_labels`` commonest languages, of each at
+most ``words`` words in spans spread over the text. Half of the training sequences join spans of documents in
 different languages, so that transitions learn how code-switched text changes.
 A word's label is found by forward-backward over the whole text. A text's language
 is the one with most probability over all words; the score is its share.
@@ -33,10 +33,10 @@ RESULT = "lang_pred string, score double, spans array<struct<lang: string, start
 _SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
-def train(docs: DataFrame, per_label: int = 400, words: int = 300, sequences: int = 1600, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, per_label: int = 400, words: int = 300, sequences: int = 1600, most_labels: int = 64, seed: int = 7) -> Model | None:
     """Learn from ``text`` and non-null ``lang`` of ``docs``."""
-    sample, _ = bounded(docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL"), "lang", per_label)
-    spans = word_spans(sample, "lang", words)
+    sample, _ = bounded(docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL"), "lang", per_label, most_labels, "text")
+    spans = word_spans(sample, words)
     labels = sorted({label for label, _ in spans})
     if not labels:
         return None

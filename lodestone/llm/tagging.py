@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import text_slices
@@ -21,17 +21,27 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % by
 
 
-def bounded(rows: DataFrame, label: str, per_label: int, id_column: str = "doc_id") -> tuple[DataFrame, dict]:
-    """About ``per_label`` rows of each label, chosen by a hash of the id; and each
-    label's number of rows."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    keep = F.coalesce(*[F.when(F.col(label) == v, F.lit(min(1.0, per_label / n))) for v, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit(17)), F.lit(1_000_000)) < keep * 1_000_000), counts
+def bounded(rows: DataFrame, label: str, per_label: int, most_labels: int, text: str | None = None, id_column: str = "doc_id") -> tuple[DataFrame, dict]:
+    """At most ``per_label`` rows of each of the ``most_labels`` most frequent labels,
+    and how many distinct rows (about) each of these labels has.
 
+    Rows are taken by a hash of id and text: first those under a threshold that about
+    ``per_label`` distinct rows pass, then, should repeated rows make them more, the
+    first by that hash. Columns: label (string), the id, and the text if it is given.
+    """
+    keys = [F.col(id_column)] + ([F.col(text)] if text else [])
+    named = rows.select(F.col(label).cast("string").alias("label"), *keys, F.xxhash64(*keys, F.lit(17)).alias("_h"))
+    found = named.groupBy("label").agg(F.approx_count_distinct("_h").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()
+    counts = {r.label: r.n for r in found}
+    shares = F.create_map(*[F.lit(x) for v, n in counts.items() for x in (v, min(1.0, per_label / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    near = named.filter(F.pmod("_h", F.lit(1_000_000)) < F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0)) * 1_000_000)
+    first = F.row_number().over(Window.partitionBy("label").orderBy("_h"))
+    return near.withColumn("_n", first).filter(F.col("_n") <= per_label).drop("_n", "_h"), counts
 
-def word_spans(docs: DataFrame, label: str, most: int) -> list[tuple[str, list[str]]]:
-    """(label, words) of each row for training: all words, or ``most`` of them in
-    spans spread evenly over the whole text. For bounded samples only."""
+
+def word_spans(docs: DataFrame, most: int) -> list[tuple[str, list[str]]]:
+    """(label, words) of each row (label, text) for training: all words, or ``most`` of
+    them in spans spread evenly over the whole text. For bounded samples only."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -47,7 +57,7 @@ def word_spans(docs: DataFrame, label: str, most: int) -> list[tuple[str, list[s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["label", "words"])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(label).cast("string").alias("label"), "text").mapInArrow(cut, "label string, words string").collect()
+    rows = docs.select("label", "text").mapInArrow(cut, "label string, words string").collect()
     # by content, so that the order in which tasks end doesn't matter
     return sorted((r.label, r.words.split(" ")) for r in rows if r.words)
 

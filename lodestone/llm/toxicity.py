@@ -9,8 +9,11 @@ document's score is a logistic function of the sum, the largest and the mean of
 these probabilities (sum and mean of squares), fitted on the training documents and weighted by how common
 each label is.
 
-The model is fitted on a bounded sample, less near copies in it: about ``per_label`` documents of each label,
-of each at most ``words`` words in spans spread over the text.
+The chain has no lexicon of these words: it must tell them by their own features and
+their neighbours, so it also tags words that the list lacks. The model is fitted on a
+bounded sample, less near copies in it: at most ``per_label`` documents of each label,
+of each at most ``words`` words in spans spread over the text. All of the sample is
+learned from.
 
 Cases: null and empty texts, or texts without a word, get the score of no toxic
 word; labels that are null or have no document teach nothing; with one label or
@@ -105,34 +108,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, words: int = 800, tokens: int = 400_000) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, words: int = 300) -> Model | float:
     """Learn ``toxic`` of ``labels`` (doc_id, toxic) from the texts of ``docs``."""
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sample, counts = bounded(marked, "toxic", per_label)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by per_label
-    spans = without_copies(word_spans(known, "toxic", words))
+    sample, counts = bounded(marked, "toxic", per_label, 2)
+    known = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # at most per_label of each label
+    spans = without_copies(word_spans(bounded(known, "label", per_label, 2, "text")[0], words))
     if len({label for label, _ in spans}) < 2:
-        return float(counts.get(1, 0) / max(1, sum(counts.values())))
+        return float(counts.get("1", 0) / max(1, sum(counts.values())))
     bad = toxic_words(spans)
     types = {w: i for i, w in enumerate(sorted({w for _, ws in spans for w in ws}))}
     is_bad = np.array([w in bad for w in types])
-    rows, tags, budget = [], [], {True: tokens // 2, False: tokens // 2}
+    rows, tags = [], []
     for label, ws in spans:
         place = np.array([types[w] for w in ws])
-        marks = (is_bad[place] & (label == "1")).astype(np.int64)
-        for at in range(0, len(place), 128):
-            part, mark = place[at : at + 128], marks[at : at + 128]
-            if budget[kind := bool(mark.any())] > 0:
-                budget[kind] -= len(part)
-                rows.append(part)
-                tags.append(mark)
-    model = fit(["clean", "toxic"], pa.array(list(types), pa.large_string()), rows, tags, {0: np.flatnonzero(is_bad)}, rounds=30)
+        rows.append(place)
+        tags.append((is_bad[place] & (label == "1")).astype(np.int64))
+    model = fit(["clean", "toxic"], pa.array(list(types), pa.large_string()), rows, tags, {}, rounds=30)
     scores = model.emissions(pa.array(list(types), pa.large_string()))
     texts = [np.array([types[w] for w in ws]) for _, ws in spans]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     x = _summary(marginals(scores[np.concatenate(texts)], offsets, model.transitions)[:, 1], offsets)
     y = np.array([label == "1" for label, _ in spans], float)
-    weight = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())
+    weight = np.where(y == 1, counts["1"] / y.sum(), counts["0"] / (1 - y).sum())
     model.extra["beta"] = _logistic(x, y, weight / weight.mean())
     return model
 
