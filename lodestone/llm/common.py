@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.shipping import ship
 
@@ -26,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests, a local one is made.
+    Only where the session names none and runs in one process, as in tests, a local one
+    is made; on a cluster executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,15 +42,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no more than a reread. The table goes when the
-    driver ends."""
+    lineage, and a lost executor costs no more than a reread. The table goes with
+    :func:`discard`, or when the driver ends."""
     spark = df.sparkSession
     ship(spark)
     name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(name)
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(name)
+    found = spark.read.schema(df.schema).parquet(name)
+    _WRITTEN[found] = name
+    return found
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        if df is not None and (name := _WRITTEN.pop(df, None)):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_name(name: str, *taken: str) -> str:
+    """``name``, longer by as many underscores as keep it from being a column already.
+    Spark compares names without case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a number of each row, written once with the rows. A number made
+    anew in every job would follow the order in which rows come, and that changes after
+    shuffles, retries and with the number of executors. Numbers count up by one within
+    a written file."""
+    return materialize(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
 def shuffle_width(spark: SparkSession) -> int:
