@@ -17,8 +17,11 @@ works on shingles of ``shingle`` words:
 
 Cases: null and empty texts have no words and are clean; repeated rows and equal
 ids are judged row by row; long texts are whole rows of words, exploded, never
-gathered; benchmark rows without words or id are no items; items may share an id;
-an empty benchmark leaves all clean; further columns are ignored.
+gathered; benchmark rows without words have no window; what occurs of an item without
+an id is hit, but adds nothing to the list of items; items may share an id; an empty
+benchmark leaves all clean; further columns are ignored. Words are compared by 64-bit
+hashes of three in a row; a word that differs changes up to three of them, all of which
+would have to collide.
 """
 
 from __future__ import annotations
@@ -49,19 +52,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def item_shingles(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     """item, item_id, ipos, key, k (words in a shingle), span (words in a window), m (shingles)."""
-    items = benchmark.filter("item_id IS NOT NULL").select(
-        F.monotonically_increasing_id().alias("item"), F.col("item_id"), words_of(F.col("text")).alias("w")
-    )
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), words_of(F.col("text")).alias("w"))
     items = items.filter(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(shingle))).withColumn("span", F.least(F.size("w"), F.lit(window)))
     placed = items.withColumn("m", F.size("w") - F.col("k") + 1).withColumn("ipos", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     key = F.coalesce(*[F.when(F.col("k") == n, _key("w", F.col("ipos"), n)) for n in range(1, shingle + 1)])
     return placed.select("item", "item_id", "ipos", key.alias("key"), "k", "span", "m")
 
 
-def kept_shingles(docs: DataFrame, keys: DataFrame, lengths: list[int], n_keys: int, id_column: str) -> DataFrame:
+def kept_shingles(docs: DataFrame, keys: DataFrame, lengths: list[int], n_keys: int, id_column: str, row: str | None) -> DataFrame:
     """rid, doc_id, n_words, pos, key: one row with pos -1 for each document, and one
     for each place of a shingle that the benchmark has."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).alias("doc_id"), words_of(F.col("text")).alias("w"))
+    number = F.col(row) if row else F.monotonically_increasing_id()  # read once: what follows reads the table written of it
+    rows = docs.select(number.alias("rid"), F.col(id_column).alias("doc_id"), words_of(F.col("text")).alias("w"))
     rows = rows.withColumn("n_words", F.size("w"))
     spread = rows.select("rid", "doc_id", "n_words", "w", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)).alias("pos"))
     head = F.col("pos") < 0
@@ -74,12 +76,15 @@ def kept_shingles(docs: DataFrame, keys: DataFrame, lengths: list[int], n_keys:
     return joined.filter((F.col("pos") < 0) | F.col("known").isNotNull()).select("rid", "doc_id", "n_words", "pos", F.col("known").alias("key"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_column: str = "doc_id") -> DataFrame:
-    """rid, doc_id, n_words, n_hit, items (ids of occurring items, sorted as strings)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, id_column: str = "doc_id", row: str | None = None) -> DataFrame:
+    """rid, doc_id, n_words, n_hit, items (ids of occurring items, sorted as strings).
+
+    ``rid``: the column ``row`` if it is given, else a number made here.
+    """
     items = materialize(item_shingles(benchmark, window, shingle), "bench")
     lengths = [r.k for r in items.select("k").distinct().orderBy("k").collect()] or [shingle]  # at most ``shingle`` of them
     n = items.count()
-    kept = materialize(kept_shingles(docs, items.select("key").distinct(), lengths, n, id_column), "kept")
+    kept = materialize(kept_shingles(docs, items.select("key").distinct(), lengths, n, id_column, row), "kept")
     heads, hits = kept.filter("pos < 0"), kept.filter("pos >= 0")
 
     # rarity over all documents; a window with a shingle that none has cannot occur

@@ -91,11 +91,11 @@ def _brute(docs, items):
         for i, item in items:
             own = _words(item)
             n = min(13, len(own))
-            windows = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if own and i is not None else set()
+            windows = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if own else set()
             for s in range(len(words) - n + 1) if windows else ():
                 if tuple(words[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
-                    found.add(str(i))
+                    found |= {str(i)} if i is not None else set()
         out.append((d, len(words), len(hit), ",".join(sorted(found))))
     return sorted(out, key=repr)
 

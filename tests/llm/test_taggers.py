@@ -1,5 +1,6 @@
 """Language ID, toxicity, the chain itself, and the pipeline."""
 
+import itertools
 import random
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import crf, langid, tagging, toxicity
+from tests.llm.test_joins import _components
+from tests.llm.test_native import _brute
 from tests.support import SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -16,9 +19,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def _forward_backward(scores, transitions):
     e, tie, k = np.exp(scores), np.exp(transitions), scores.shape[1]
-    forward, backward = [np.full(k, 1 / k)], [np.ones(k)]
-    for x in e:
-        forward.append(forward[-1] @ tie * x)
+    forward, backward = [np.ones(k)], [np.ones(k)]
+    for i, x in enumerate(e):
+        forward.append((forward[-1] @ tie if i else forward[-1]) * x)
         forward[-1] /= forward[-1].sum()
     for x in e[::-1]:
         backward.append(tie @ (x * backward[-1]))
@@ -38,6 +41,81 @@ def test_blocks_don_t_change_the_marginals(lengths):
             assert np.allclose(found[a:b], _forward_backward(scores[a:b], transitions))
 
 
+def test_the_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    types = pa.array(["ab", "abc", "xy", "zzz"], pa.large_string())
+    rows = [rng.integers(0, 4, n) for n in (3, 1, 6)]
+    tags = [rng.integers(0, 3, len(r)) for r in rows]
+    goal = crf.Likelihood(3, types, rows, tags, {0: np.array([1]), 1: np.array([2, 3])}, 0.01)
+    params = [rng.normal(size=p.shape) * 0.3 for p in goal.start]
+
+    def value(params):
+        scores, total = goal.scores(params), 0.0
+        for a, b, own in zip(goal.offsets[:-1], goal.offsets[1:], tags, strict=True):
+            paths = []
+            for path in itertools.product(range(3), repeat=b - a):
+                paths.append(sum(scores[a + i, y] for i, y in enumerate(path)) + sum(params[1][x, y] for x, y in itertools.pairwise(path)))
+                if path == tuple(own):
+                    total += paths[-1]
+            total -= np.log(np.exp(paths).sum())
+        return total / len(scores) - 0.005 * sum((p * p).sum() for p in params)
+
+    for x, g in zip(params, goal.gradient(params), strict=True):
+        for place in [tuple(p) for p in np.argwhere(np.ones_like(x))[:40]]:
+            up, down = ([p.copy() for p in params] for _ in range(2))
+            i = next(i for i, p in enumerate(params) if p is x)
+            up[i][place] += 1e-5
+            down[i][place] -= 1e-5
+            assert np.isclose((value(up) - value(down)) / 2e-5, g[place], atol=1e-7)
+
+
+@pytest.mark.parametrize("length", [5, 64, 65, 200])
+def test_pairs_of_labels_are_exact_across_blocks(length):
+    rng = np.random.default_rng(2)
+    scores, transitions = rng.normal(size=(length, 2)), rng.normal(size=(2, 2))
+    _, found = crf.forward_backward(scores, np.array([0, length]), transitions, count_pairs=True)
+    e, tie = np.exp(scores), np.exp(transitions)
+    forward, backward = [e[0] / e[0].sum()], [np.ones(2)]
+    for x in e[1:]:
+        now = forward[-1] @ tie * x
+        forward.append(now / now.sum())
+    for x in e[:0:-1]:
+        now = tie @ (x * backward[-1])
+        backward.append(now / now.sum())
+    backward.reverse()
+    wanted = np.zeros((2, 2))
+    for t in range(1, length):
+        pair = forward[t - 1][:, None] * tie * (e[t] * backward[t])
+        wanted += pair / pair.sum()
+    assert np.allclose(found, wanted) and np.isclose(found.sum(), length - 1)
+
+
+def test_neighbours_change_a_word_s_tag():
+    types = pa.array(["mild", "vile", "calm"], pa.large_string())
+    rows = [np.array([1, 0, 0]), np.array([2, 0, 0])] * 20
+    model = crf.fit(["clean", "toxic"], types, rows, [np.array([1, 1, 1]), np.array([0, 0, 0])] * 20, {}, rounds=60)
+    p, *_ = tagging.tag(pa.array(["vile mild", "calm mild"]), model)
+    assert p[1, 1] > 0.7 > 0.3 > p[3, 1]
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(i, f"text {i}", f"l{i % 50}") for i in range(1000)] + [(7, "same", "hot")] * 900 + [(7, f"own {i}", "hot") for i in range(900)] + [(1, "a", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    sample, counts = tagging.bounded(docs, "lang", 30, 3, "text")
+    by = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert len(counts) == 3 and set(by) <= set(counts) and "hot" in counts and max(by.values()) <= 30
+
+
+def test_all_of_the_sample_is_learned_from(spark, monkeypatch):
+    """Neither the order of the sample nor a budget decides which rows are fitted."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda labels, types, rows, tags, lexicons, **_: seen.append(rows) or crf.Model(labels, np.zeros((crf.BUCKETS, 2), np.float32), np.zeros((2, 2)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((1, 2))))
+    docs, labels = _toxic_corpus(spark)
+    toxicity.train(docs, labels)
+    toxicity.train(docs.orderBy(F.desc("text")), labels)
+    assert [len(r) for r in seen] == [400, 400] and sum(map(len, seen[0])) == sum(map(len, seen[1])) == 400 * 120
+
+
 def test_words_and_their_places():
     texts = pa.array(["Ab, cé 9x!", None, "", "日本 b"])
     model = crf.Model(["x", "y"], np.zeros((crf.BUCKETS, 2), np.float32), np.zeros((2, 2)), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((1, 2)))
@@ -134,22 +212,52 @@ def test_scores_of_held_out_documents(spark):
     assert found[found.toxic == 1].score.mean() > found[found.toxic == 0].score.mean() + 0.3
 
 
+CLASH = ("_rid", "_rid_", "_lang_id", "_toxic", "rid", "keep", "n_hit", "item")
+
+
+def _with_clashes(docs):
+    return docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASH})
+
+
 def test_stages_of_the_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    extra = spark.createDataFrame([(90001, None, None, None, None), (90002, "12 !", "en", "s", 4), (90003, docs.first().text, "fr", "s", 1)], DOCS)
-    docs = corpus_pipeline.materialize(docs.unionByName(extra).withColumn("_rid", F.lit("own")), "t")
+    half = " ".join(["the and of that with"] * 10 + ["der und die nicht das"] * 10 + ["pour les des dans que"] * 10)
+    extra = spark.createDataFrame([(90001, None, None, None, None), (90002, "12 !", "en", "s", 4), (90003, docs.first().text, "fr", "s", 1), (90004, half, "en", "s", 1)], DOCS)
+    docs = _with_clashes(docs.unionByName(extra)).repartition(5)  # a shuffle: rows have no lasting order
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        columns, docs = docs.columns, corpus_pipeline.materialize(stage(spark, docs, SMALL), "t")
+        columns, docs = docs.columns, stage(spark, docs, SMALL)
         if name != "packing":
             assert docs.columns == columns
-            kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert not kept["language_id"] & {90001, 90002} and 90003 in kept["language_id"]
-    assert len(kept["language_id"]) >= 200 and 90003 not in kept["ngram_join"]
+            found = docs.collect()
+            kept[name] = {r.doc_id for r in found}
+            assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASH)
+            docs = docs.repartition(7)
+    assert not kept["language_id"] & {90001, 90002, 90004} and 90003 in kept["language_id"]
+    assert len(kept["language_id"]) >= 195 and 90003 not in kept["ngram_join"]
     assert kept["language_id"] >= kept["toxicity"] >= kept["ngram_join"] >= kept["decontaminate"]
     assert {r.doc_id for r in docs.select("doc_id").collect()} == kept["decontaminate"]
 
 
+def test_the_whole_pipeline(spark):
+    """Against its parts, each by its own query's figures or by brute force."""
+    found = corpus_pipeline.run(spark, SMALL).toPandas()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, SMALL), "t")
+        if name == "ngram_join":
+            own = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            assert sorted(r.doc_id for r in docs.collect()) == sorted({c if n else d for d, n, c in _components(own)})
+        if name == "decontaminate":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+            own = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            clean = {d for d, n, hit, _ in _brute(own, items) if not (hit > 0 and 20 * hit >= n)}
+            assert {r.doc_id for r in docs.collect()} == clean
+    assert set(found.doc_id) == {r.doc_id for r in docs.collect()}
+    sizes = found.groupby("sequence_id").length.sum()
+    assert sizes.max() <= 1024 and (found.groupby("doc_id").length.sum() == found.groupby("doc_id").doc_tokens.first()).all()
+
+
 def test_every_stage_takes_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for name, stage in corpus_pipeline.STAGES:
