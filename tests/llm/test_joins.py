@@ -64,13 +64,37 @@ def _near_documents():
 def test_components_equal_brute_force(spark, options):
     docs = _near_documents()
     frame = spark.createDataFrame(docs, DOCS).withColumns({"c": F.lit("clash"), "rid": F.lit(7)}).repartition(6)
-    found = ngram_join.jaccard_components(common.materialize(frame, "t"), **options).collect()
+    found = ngram_join.jaccard_components(frame, **options).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == _components(docs)
     kept = [r for r in found if r.keep]
     sizes = Counter((r.component_id, r.n_shingles == 0, r.doc_id if not r.n_shingles else None) for r in kept)
     assert set(sizes.values()) == {1} and all(r.doc_id == r.component_id for r in kept)
 
 
+def test_all_pairs_on_request(spark):
+    docs = _near_documents()
+    found, members = ngram_join.similar_pairs(spark.createDataFrame(docs, DOCS).repartition(3))
+    sets = {i: frozenset(_shingles(t)) for i, (_, t) in enumerate(docs)}
+    distinct = sorted({s for s in sets.values() if s}, key=sorted)
+    wanted = Counter(round(len(x & y) / len(x | y), 9) for i, x in enumerate(distinct) for y in distinct[:i] if 100 * len(x & y) >= 80 * len(x | y))
+    assert Counter(round(r.jaccard, 9) for r in found.collect()) == wanted
+    assert members.filter("n > 0").select("c").distinct().count() == len(distinct)
+
+
+def test_candidates_are_dealt_to_no_more_than_they_need(spark):
+    """Pieces of classes without a candidate stay where they are; rows dealt are pairs times fragments."""
+    tokens = [(bytes([i]) * 16, list(range(-(2**63), 2**63, 2**57))[i::7]) for i in range(40)]
+    survivors = spark.createDataFrame([(bytearray(c), t) for c, t in tokens], "c binary, tokens array<long>")
+    pieces = ngram_join._pieces(survivors, ngram_join.COUNTED_FRAGMENTS)
+    assert sorted(x for r in pieces.collect() for x in r.tokens) == sorted(x for _, t in tokens for x in t)
+    assert pieces.count() <= 40 * ngram_join.COUNTED_FRAGMENTS
+    sizes = {c: len(t) for c, t in tokens}
+    pairs = [(bytearray(tokens[i][0]), bytearray(tokens[i + 7][0]), sizes[tokens[i][0]], sizes[tokens[i + 7][0]]) for i in range(5)]
+    found = ngram_join._count_pairs(spark.createDataFrame(pairs, "a binary, b binary, na long, nb long"), pieces, 80).collect()
+    wanted = {bytes(a): len(set(dict(tokens)[bytes(a)]) & set(dict(tokens)[bytes(b)])) for a, b, na, nb in pairs}
+    assert {bytes(r.a): r.overlap for r in found} == {a: o for a, o in wanted.items() if 100 * o >= 80 * (2 * sizes[a] - o) or 100 * o >= 80 * (sizes[a] + sizes[a] - o)}
+
+
 def test_no_documents_at_all(spark):
     none = spark.createDataFrame([], DOCS)
     assert ngram_join.jaccard_components(none).count() == 0
@@ -188,7 +212,7 @@ def test_other_tokenizers_go_the_usual_way():
     assert np.frombuffer(encode("Hello  World"), "<u4").tolist() == encode.tokenizer.encode("Hello  World", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("options", [{}, {"fragment_rows": 150, "hot_rows": 150, "passes": 2}])
+@pytest.mark.parametrize("options", [{}, {"cutoff": 2}, {"fragment_rows": 150, "hot_rows": 150}, {"fragment_rows": 150, "hot_rows": 150, "cutoff": 2}])
 def test_backoff_scores_equal_brute_force(spark, options):
     random.seed(9)
     docs = [(i, " ".join(random.choices(["The", "of", "the", "a", "É", f"w{i % 9}"], weights=[9, 5, 9, 3, 1, 2], k=random.choice([0, 1, 2, 3, 30, 90])))) for i in range(70)]
@@ -202,10 +226,10 @@ def test_backoff_scores_equal_brute_force(spark, options):
         c2[v, w] += 1
         cv[v] += 1
         c1[w] += 1
-    n = sum(c1.values())
-    score = lambda u, v, w: math.log(c3[u, v, w] / cuv[u, v]) if c3[u, v, w] >= 2 else math.log(0.4 * c2[v, w] / cv[v]) if c2[v, w] >= 2 else math.log(0.16 * c1[w] / n)
+    n, least = sum(c1.values()), options.get("cutoff", 1)
+    score = lambda u, v, w: math.log(c3[u, v, w] / cuv[u, v]) if c3[u, v, w] >= least else math.log(0.4 * c2[v, w] / cv[v]) if c2[v, w] >= least else math.log(0.16 * c1[w] / n)
     wanted = sorted((repr(d), len(r), round(sum(score(*x) for x in r), 4)) for (d, _), r in zip(docs, rows, strict=True))
-    frame = common.materialize(spark.createDataFrame(docs, DOCS).withColumns({"word": F.lit(1), "key": F.lit(2)}).repartition(4), "t")
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"word": F.lit(1), "key": F.lit(2)}).repartition(4)
     found = lm_score.backoff_scores(frame, **options).collect()
     got = sorted((repr(r.doc_id), r.n_words, round(r.log_score, 4)) for r in found)
     assert [g[:2] for g in got] == [w[:2] for w in wanted]
