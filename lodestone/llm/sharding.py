@@ -1,38 +1,43 @@
 """Sharding by histogram sort, under the law of equal bytes.
 
-Rows are ordered by a long key; rows with the same key by their place in the
-scan. Splitters that cut this order into parts of equal bytes are found by
-counting: every round, each partition of a narrow key table counts the exact
+Rows are ordered by a long key; rows with the same key by a number that is written
+with them once. Splitters that cut this order into shards of equal bytes are found by
+counting: every round, each partition of the narrow key columns counts the exact
 bytes and rows below a set of candidate boundaries, the counts are summed, and
 the boundaries are refined until each is within the tolerance of its target or
-can't be moved by one row without missing it by more. Then the rows move once,
-to the part that they belong to. As rows below each boundary are counted too, a
-row's slot in its shard is its part's offset and its place in the part.
+can't be moved by one row without missing it by more. The driver holds a fixed number
+of probes for each of the shards' boundaries, whatever the table's size. Then the rows
+move once.
 
 A shard has several parts of about ``part_bytes``, so that no task gets more than
-a part, however large a shard is.
+a part, however large a shard is: its rows are dealt to them by hash, and each part is
+sorted, so a shard is as many sorted runs as it has parts. Parts are the exchange's
+partitions, by number. A row's slot in its shard is its part's offset, from a count of
+the rows of each part, and the place in the part.
 
 Cases: a null text has size 8; null keys come first; equal keys, repeated rows
-and large groups of equal texts are cut anywhere, as the place in the scan breaks
-ties (so the input must be scanned in the same order each time: files or a
-written table); a table without rows gives none; further columns are kept; a
-column of the input that is called size, shard or slot is replaced.
+and large groups of equal texts are cut anywhere, as the law of equal bytes asks; the
+row's number breaks ties; a table without rows gives none; further columns are kept; a
+column of the input that is called size, shard or slot is replaced, all others keep
+their values, whatever they are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import fresh_name, materialize, table
 
 _LOW = -(1 << 63)
 _PROBES = 8
+#: Up to so many parts' offsets (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_PARTS = 1_000_000
 
 
 def _join(k: int, m: int) -> int:
@@ -109,45 +114,38 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float) -> tuple[list[
     return [_parts_of(p) for p in cut], [known[p][1] for p in cut], top.rows
 
 
+def _shard_of(k: str, m: str, cuts: list[tuple[int, int]]) -> Column:
+    """How many boundaries are at or below a row."""
+    at_or_above = [((F.col(k) > ck) | ((F.col(k) == ck) & (F.col(m) >= cm))).cast("int") for ck, cm in cuts]
+    return reduce(lambda a, b: a + b, at_or_above, F.lit(0))
+
+
 def histogram_sort(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, part_bytes: int = 32 << 20, tolerance: float = 0.002) -> DataFrame:
     """The rows of ``df`` with size, shard and slot, moved to their shards' parts."""
-    sized = df.drop("size", "shard", "slot").withColumns(
-        {
-            "_k": F.coalesce(F.col(key).cast("long"), F.lit(_LOW)),
-            "_m": F.monotonically_increasing_id(),
-            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8,
-        }
-    )
-    keys = materialize(sized.select(F.col("_k").alias("k"), F.col("_m").alias("m"), "size"), "shard-keys")
+    k, m, part, before = (fresh_name(n, *df.columns) for n in ("_k", "_m", "_part", "_before"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
+    sized = df.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(_LOW)), m: F.monotonically_increasing_id()}).withColumn(part, size)
+    rows = materialize(sized.drop("size", "shard", "slot").withColumnRenamed(part, "size"), "shard-rows")
+    keys = rows.select(F.col(k).alias("k"), F.col(m).alias("m"), "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
     per = max(1, -(-total // (shards * part_bytes)))
-    parts = shards * per
-    cuts, rows_below, _ = find_splitters(keys, parts, tolerance)
-    starts = np.array([0, *rows_below], np.int64)
-    ck = np.array([c[0] for c in cuts], np.int64)
-    cm = np.array([c[1] for c in cuts], np.int64)
-
-    @F.pandas_udf("part int, shard int, before long")
-    def place(k: pd.Series, m: pd.Series) -> pd.DataFrame:
-        k, m = k.to_numpy(), m.to_numpy()
-        part = np.searchsorted(ck, k, "left")
-        while len(ck):  # among boundaries of the same key, the place in the scan decides
-            on = part < len(ck)
-            at = np.minimum(part, len(ck) - 1)
-            step = on & (ck[at] == k) & (cm[at] <= m)
-            if not step.any():
-                break
-            part = part + step
-        shard = part // per
-        return pd.DataFrame({"part": part.astype(np.int32), "shard": shard.astype(np.int32), "before": (starts[part] - starts[shard * per]) if len(starts) > 1 or parts == 1 else np.zeros(len(k), np.int64)})
-
-    placed = sized.withColumn("_p", place("_k", "_m")).withColumn("_part", F.col("_p.part"))
-    moved = placed.repartition(parts, "_part")
-    order = Window.partitionBy("_part").orderBy("_k", "_m")
-    return moved.withColumn("slot", F.col("_p.before") + F.row_number().over(order) - 1).withColumn("shard", F.col("_p.shard")).drop("_p", "_part", "_k", "_m")
+    cuts, _, _ = find_splitters(keys, shards, tolerance)
+    shard = _shard_of(k, m, cuts)
+    placed = rows.withColumn("shard", shard).withColumn(part, F.col("shard") * per + F.pmod(F.xxhash64(k, m), F.lit(per)).cast("int"))
+    earlier = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    counts = placed.groupBy("shard", part).agg(F.count(F.lit(1)).alias("n"))
+    offsets = materialize(counts.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before)), "offsets")
+    moved = placed.repartitionById(shards * per, F.col(part))
+    slot = F.row_number().over(Window.partitionBy(part).orderBy(k, m)).cast("long") - 1
+    local = moved.withColumn("slot", slot)
+    joined = local.join(F.broadcast(offsets) if shards * per <= BROADCAST_PARTS else offsets, part)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (k, m, "size")]
+    return joined.select(*kept, "size", "shard", (F.col(before) + F.col("slot")).alias("slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the law ``bytes``. Groups of equal texts are cut anywhere: one may hold more
+    than a shard, and the law leaves no room for it."""
     out = histogram_sort(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
