@@ -2,20 +2,26 @@
 
 Vectors become integers, floor(64 * x). Queries are dealt into blocks, candidates
 into stripes; each (block, stripe) is a task that runs through its stripe slice by
-slice. In a slice every dimension has a sorted list. All lists are read in step,
-from the end where a query's weight gains most, to a depth that grows by rounds.
-What has been read counts as it is; what has not is at best the list's frontier,
-at worst its far end: that bounds each candidate's score from above and below. A
-candidate whose upper bound is under the k-th best lower bound (or under the k-th
-score resolved in earlier slices, which is a lower bound too) cannot qualify. When
-few candidates are left, or the rounds end, their scores are resolved by reading
-on in their lists alone. Ties at the bound are kept, so the result is exact.
+slice. A slice is kept as one sorted list of (value, candidate) for each dimension,
+and a query has a cursor on each list, at the end where its weight gains most:
+
+1. Cursors move on together, each past the entries that lose no more than a common
+   loss against their list's best. What an entry loses is added to its candidate; this
+   is all that is ever learned of a candidate, and only entries that are read are touched.
+2. A candidate that has not been met in a list loses more there than the common loss,
+   and at most the list's whole range: that bounds its score from above and below.
+3. Who is bounded under the k-th best lower bound (or under the k-th score known from
+   slices before) cannot qualify. Reading stops when nearly all cannot; a candidate
+   with a bound equal to the bar still can, so ties are kept.
+4. The scores of those that still can are resolved by reading on, each list until all
+   of them have been met in it.
 
 Cases: vectors that are null or hold a null or non-finite component take no part;
 an empty vector or a shorter one counts as padded with zeros; rows with equal ids
 are rows of their own (a row's own is left out by place, not by id); ties go to
 the smaller id; fewer candidates than k give all; a table without rows gives none.
-A null id takes no part. A score beyond 64 bits is an error.
+A null id takes no part. Any finite component is taken exactly, however large; a score
+beyond 64 bits becomes the nearest 64-bit number, and is ranked as that.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import materialize, shuffle_width, table
 
 _PACK = "is_query boolean, block long, ids binary, uids binary, vals binary, code string, dim int"
 _PACK_SCHEMA = pa.schema(
@@ -37,18 +43,21 @@ _PACK_SCHEMA = pa.schema(
 )
 _OUT = "query_uid long, query_id long, vec_id long, score long"
 _OUT_SCHEMA = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-#: Shares of each list that have been read after each round.
-DEPTHS = (0.5, 0.7, 0.85)
+#: Common losses at which bounds are looked at, as shares of the longest list's range.
+LOSSES = (0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)
+#: Vectors with components beyond 32 bits are packed as they came.
+_RAW = "<f8"
 
 
-def _packed(is_query: bool, block: int, ids: np.ndarray, uids: np.ndarray, vals: np.ndarray) -> tuple:
-    most = np.abs(vals).max(initial=0)
-    code = next((c for c, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most <= top), "<f8")
-    return is_query, block, ids.astype("<i8").tobytes(), uids.astype("<i8").tobytes(), vals.astype(code).tobytes(), code, vals.shape[1]
+def _packed(is_query: bool, block: int, ids: np.ndarray, uids: np.ndarray, x: np.ndarray) -> tuple:
+    most = np.abs(x).max(initial=0)
+    code = next((c for c, top in (("<i1", 127), ("<i2", 32767), ("<i4", 2**31 - 1)) if most * 64 + 1 <= top), _RAW) if most < 2**40 else _RAW
+    vals = x if code == _RAW else np.floor(64 * x)
+    return is_query, block, ids.astype("<i8").tobytes(), uids.astype("<i8").tobytes(), vals.astype(code).tobytes(), code, x.shape[1]
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row places, floor(64 x)) of a batch's vectors, by their length."""
+    """(row places, vectors) of a batch's finite vectors, by their length."""
     vectors = batch.column(1).cast(pa.list_(pa.float64()))
     flat = vectors.values.to_numpy(zero_copy_only=False) if vectors.values.null_count == 0 else np.where(pc.is_null(vectors.values).to_numpy(zero_copy_only=False), np.nan, vectors.values.to_numpy(zero_copy_only=False))
     offsets = vectors.offsets.to_numpy()
@@ -58,75 +67,144 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(there & (lengths == dim))
         block = flat[offsets[rows][:, None] + np.arange(dim)]
         fine = np.isfinite(block).all(axis=1)
-        yield rows[fine], np.floor(64 * block[fine])
+        yield rows[fine], block[fine]
 
 
-def _resolve(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (c @ q).astype(np.int64)
+class Lists:
+    """Of a slice: each dimension's values in rising order, and whose they are."""
 
+    def __init__(self, vectors: np.ndarray):
+        self.size, self.dim = vectors.shape
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T, dtype=np.float64)
+        self.owners = np.ascontiguousarray(order.T, dtype=np.int32)
 
-def _slice_top(q: np.ndarray, c: np.ndarray, k: int, floor: np.ndarray) -> list[np.ndarray]:
-    """For each query the candidates of a slice that may be among its k best.
 
-    ``floor``: of each query a score that k known candidates reach, or -inf.
-    """
-    n, dim = c.shape
-    if n <= 2 * k or not dim:
-        return [np.arange(n)] * len(q)
-    lists = np.sort(c, axis=0)
-    low, high, cols = lists[0], lists[-1], np.arange(dim)
-    both = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
-    alive: list[np.ndarray] = []
-    for depth in DEPTHS:
-        read = min(n - 1, int(np.ceil(depth * n)))
-        down, up = lists[n - read], lists[read - 1]
-        at = np.array([np.searchsorted(lists[:, d], down[d], "left") for d in cols])
-        front_down = np.where(at > 0, lists[np.maximum(at - 1, 0), cols], low)
-        at = np.array([np.searchsorted(lists[:, d], up[d], "right") for d in cols])
-        front_up = np.where(at < n, lists[np.minimum(at, n - 1), cols], high)
-        seen_down, seen_up = c >= down, c <= up
-        upper = both @ np.concatenate([np.where(seen_down, c, front_down), np.where(seen_up, c, front_up)], axis=1).T
+class Cursors:
+    """One query's reading of the lists, and what it has learned of each candidate."""
+
+    def __init__(self, q: np.ndarray, lists: Lists):
+        self.lists, self.dims = lists, np.flatnonzero(q).tolist()
+        self.weight, self.rising = np.abs(q), q < 0
+        ends = np.where(self.rising, lists.values[:, 0], lists.values[:, -1]) if lists.dim else np.zeros(0)
+        self.top, self.best = ends, float((q * ends).sum())
+        self.ranges = self.weight * (lists.values[:, -1] - lists.values[:, 0]) if lists.dim else np.zeros(0)
+        self.at = np.zeros(lists.dim, np.int64)
+        self.lost, self.met, self.settled = np.zeros(lists.size), np.zeros(lists.size, np.int64), np.zeros(lists.size)
+        self.read = 0
+
+    def _entries(self, d: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and losses of list d's entries from the cursor to place ``to``."""
+        n, a = self.lists.size, self.at[d]
+        part = slice(a, to) if self.rising[d] else slice(n - to, n - a)
+        loss = np.abs(self.lists.values[d, part] - self.top[d]) * self.weight[d]
+        return self.lists.owners[d, part], loss
+
+    def advance(self, loss: float, to_end: bool = False) -> None:
+        """Read on past all entries that lose no more than ``loss``."""
+        owners, losses, sizes = [], [], []
+        n = self.lists.size
+        for d in self.dims:
+            if self.at[d] == n:
+                sizes.append(0)
+                continue
+            values, reach = self.lists.values[d], loss / self.weight[d]
+            if to_end:
+                to = n
+            elif self.rising[d]:
+                to = int(np.searchsorted(values, self.top[d] + reach, "right"))
+            else:
+                to = n - int(np.searchsorted(values, self.top[d] - reach, "left"))
+            who, what = self._entries(d, max(to, self.at[d]))
+            owners.append(who)
+            losses.append(what)
+            sizes.append(len(who))
+            self.at[d] = max(to, self.at[d])
+        if owners:
+            who = np.concatenate(owners)
+            self.read += len(who)
+            self.lost += np.bincount(who, weights=np.concatenate(losses), minlength=n)
+            self.met += np.bincount(who, minlength=n)
+            self.settled += np.bincount(who, weights=np.repeat(self.ranges[self.dims], sizes), minlength=n)
+
+    def upper(self, loss: float) -> np.ndarray:
+        return self.best - self.lost - loss * (len(self.dims) - self.met)
+
+    def lower(self) -> np.ndarray:
+        return self.best - self.lost - (self.ranges.sum() - self.settled)
+
+    def resolve(self, few: np.ndarray) -> np.ndarray:
+        """The scores of ``few`` candidates, by reading each list until it has them all."""
+        wanted = np.zeros(self.lists.size, bool)
+        wanted[few] = True
+        for d in self.dims:
+            who, what = self._entries(d, self.lists.size)
+            if not self.rising[d]:
+                who, what = who[::-1], what[::-1]
+            found = np.flatnonzero(wanted[who])
+            if len(found):
+                self.read += int(found[-1]) + 1
+                self.lost[who[found]] += what[found]
+        return self.best - self.lost[few]
+
+
+def contenders(q: np.ndarray, lists: Lists, k: int, floor: float = -np.inf, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Who of a slice may be among the k best, their scores, and how many entries were
+    read. ``floor``: a score that k known candidates reach; ``slack``: what rounding may
+    take from a bound (none where all are integers)."""
+    c = Cursors(q, lists)
+    few = np.arange(lists.size)
+    longest = float(c.ranges.max(initial=0))
+    for share in LOSSES:
+        c.advance(share * longest, share == LOSSES[-1])
         bar = floor
-        if not np.isfinite(floor).all():
-            lower = both @ np.concatenate([np.where(seen_down, c, low), np.where(seen_up, c, high)], axis=1).T
-            bar = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
-        mask = upper >= bar[:, None]
-        if mask.sum() <= len(q) * max(4 * k, n // 16) or depth == DEPTHS[-1]:
-            alive = [np.flatnonzero(m) for m in mask]
+        if lists.size > k and not np.isfinite(floor):
+            bar = np.partition(c.lower(), lists.size - k)[lists.size - k]
+        few = np.flatnonzero(c.upper(share * longest) >= bar - slack)
+        if len(few) <= max(2 * k, lists.size // 32):
             break
-    return alive
+    return few, c.resolve(few), c.read
 
 
 def _top_of(t: pa.Table, k: int, slice_rows: int) -> pa.Table:
     """The k best of a stripe for each query of a block."""
     sides: dict[bool, list] = {True: [], False: []}
-    dims = [d for d in t["dim"].to_pylist()]
-    dim = max(dims, default=0)
+    dim = max(t["dim"].to_pylist(), default=0)
+    large = pc.any(pc.equal(t["code"], _RAW)).as_py()
     for r in t.to_pylist():
         ids, uids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["uids"], "<i8")
-        vals = np.zeros((len(ids), dim))
-        vals[:, : r["dim"]] = np.frombuffer(r["vals"], r["code"]).reshape(len(ids), r["dim"])
+        own = np.frombuffer(r["vals"], r["code"]).reshape(len(ids), r["dim"])
+        if large:  # multiples of 1/64, exactly
+            own = np.where(np.abs(own) < 2**46, np.floor(64 * np.clip(own, -(2.0**46), 2.0**46)) / 64, own) if r["code"] == _RAW else own / 64
+        vals = np.zeros((len(ids), dim), own.dtype)
+        vals[:, : r["dim"]] = own
         sides[r["is_query"]].append((ids, uids, vals))
     if not sides[True] or not sides[False]:
         return _OUT_SCHEMA.empty_table()
     (qid, quid, q), (cid, cuid, c) = (tuple(np.concatenate(x) for x in zip(*sides[s], strict=True)) for s in (True, False))
-    reach = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
-    if reach < 2**24:
-        q, c = q.astype(np.float32), c.astype(np.float32)
-    elif reach >= 2**53:
-        return _top_of_large(qid, quid, q, cid, cuid, c, k)
+    reach = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1) if not large else np.inf
+    exact = reach < 2**52
+    if not exact:  # bounds in shares of the largest components, scores in whole numbers
+        unit = 1.0 if large else 64.0
+        q, c = q / unit, c / unit
+        q_most, c_most = (max(float(np.abs(x).max(initial=0)), 1e-300) for x in (q, c))
     # one more than k: the query's own row may be among them
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
     floor = np.full(len(q), -np.inf)
     for at in range(0, len(c), slice_rows):
         part, part_ids, part_uids = c[at : at + slice_rows], cid[at : at + slice_rows], cuid[at : at + slice_rows]
-        for i, found in enumerate(_slice_top(q, part, k + 1, floor)):
-            found = found[part_uids[found] != quid[i]]
-            if not len(found):
-                continue
-            ids = np.concatenate([best[i][0], part_ids[found]])
-            scores = np.concatenate([best[i][1], _resolve(q[i], part[found])])
-            order = np.lexsort((ids, -scores))[:k]
+        lists = Lists(part if exact else part / c_most)
+        for i in range(len(q)):
+            if exact:
+                found, scores, _ = contenders(q[i].astype(np.float64), lists, k + 1, floor[i])
+                scores = scores.astype(np.int64)
+            else:
+                found, _, _ = contenders(q[i] / q_most, lists, k + 1, slack=(dim + 1) ** 2 * 2.0**-48)
+                scores = np.array([_whole_product(q[i], v) for v in part[found]], np.int64)
+            other = part_uids[found] != quid[i]
+            ids = np.concatenate([best[i][0], part_ids[found[other]]])
+            scores = np.concatenate([best[i][1], scores[other]])
+            order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, for the least number too
             best[i] = ids[order], scores[order]
             if len(order) == k:
                 floor[i] = best[i][1][-1]
@@ -134,23 +212,25 @@ def _top_of(t: pa.Table, k: int, slice_rows: int) -> pa.Table:
     return pa.table([np.repeat(quid, sizes), np.repeat(qid, sizes), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])], schema=_OUT_SCHEMA)
 
 
-def _top_of_large(qid, quid, q, cid, cuid, c, k) -> pa.Table:  # noqa: ANN001
-    """The same over exact integers, for components whose products no double holds."""
-    whole = [[int(x) for x in v] for v in c]
-    rows = []
-    for i in range(len(q)):
-        w = [int(x) for x in q[i]]
-        scored = [(-sum(a * b for a, b in zip(w, v, strict=True)), int(cid[j])) for j, v in enumerate(whole) if cuid[j] != quid[i]]
-        rows += [(int(quid[i]), int(qid[i]), v, -s) for s, v in sorted(scored)[:k]]
-    return pa.table([pa.array([r[j] for r in rows], pa.int64()) for j in range(4)], schema=_OUT_SCHEMA)
+def _whole_product(q: np.ndarray, v: np.ndarray) -> int:
+    """The inner product of two vectors in 64ths, as a 64-bit number or the nearest."""
+    whole = lambda x: int(x) * 64 if abs(x) >= 2**53 else int(64 * x)
+    return max(-(2**63), min(2**63 - 1, sum(whole(a) * whole(b) for a, b in zip(q.tolist(), v.tolist(), strict=True))))
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", queries_in_block: int = 256, stripe_rows: int = 32768, slice_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", queries_in_block: int = 32768, stripe_rows: int = 262144, slice_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for every row
-    whose id is divisible by ``every``."""
+    whose id is divisible by ``every``.
+
+    Candidates are copied once for each block of queries, so blocks are as large as a
+    task's memory takes (at 64 dimensions, 2 MB). Small tables get smaller stripes, so
+    that all cores have one.
+    """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
     sizes = rows.agg(F.count("id").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("q")).first()
-    blocks, stripes = max(1, -(-sizes.q // queries_in_block)), max(1, -(-sizes.n // stripe_rows))
+    blocks = max(1, -(-sizes.q // queries_in_block))
+    wide = max(-(-sizes.n // stripe_rows), -(-shuffle_width(vectors.sparkSession) // blocks))
+    stripes = max(1, min(-(-sizes.n // min(slice_rows, stripe_rows)), wide))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, turn, out = TaskContext.get().partitionId() << 40, TaskContext.get().partitionId(), []
@@ -158,8 +238,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "ve
             for at, vals in _matrices(b):
                 ids = b.column(0).to_numpy(zero_copy_only=False)[at].astype(np.int64)
                 uids = uid + at
-                for s in range(0, len(ids), 2048):
-                    out.append(_packed(False, turn % stripes, ids[s : s + 2048], uids[s : s + 2048], vals[s : s + 2048]))
+                for s in range(0, len(ids), 1024):
+                    out.append(_packed(False, turn % stripes, ids[s : s + 1024], uids[s : s + 1024], vals[s : s + 1024]))
                     turn += 1
                 asked = np.flatnonzero(ids % every == 0)
                 where = (uids[asked] * 0x9E3779B1 >> 7) % blocks

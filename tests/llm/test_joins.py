@@ -133,20 +133,55 @@ def test_top_k_equals_brute_force(spark, options):
 
 
 def test_top_k_of_large_components_is_exact(spark):
-    rows = [(i, [float(2**20 + i), float(-(2**19) * i), 1.0]) for i in range(45)]
+    rows = [(i, [float(2**20 + i), float(-(2**19) * i), 1.0]) for i in range(45)] + [(i, [2.0**23 + i, 0.3 * i, -1.0]) for i in range(50, 70)]
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == _top(rows, 20)
 
 
+def test_any_finite_component_has_a_score(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e307, -2.0]), (2, [-1.7e308, 0.0]), (3, [0.0, 3.0]), (20, [0.0, 1.0]), (21, [5e-324, -0.0])]
+    found = {(r.query_id, r.vec_id): r.score for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found[0, 1] == 2**63 - 1 and found[0, 2] == -(2**63) and found[0, 3] == 64 * 192 and found[20, 3] == 64 * 192
+    assert found[20, 1] == -128 * 64 and found[20, 21] == 0 and len(found) == 10
+
+
+def test_reading_stops_when_outsiders_cannot_qualify():
+    rng = np.random.default_rng(3)
+    c = np.floor(64 * rng.normal(size=(4000, 12)))
+    c[:30] += 300  # some that stand out
+    q = np.floor(64 * np.abs(rng.normal(size=12)))
+    lists = topk.Lists(c)
+    found, scores, read = topk.contenders(q, lists, 21)
+    wanted = c @ q
+    assert set(np.argsort(-wanted)[:21]) <= set(found) and (scores == wanted[found]).all()
+    assert 0 < read < 0.7 * c.size  # lists are left before their ends
+    _, _, later = topk.contenders(q, lists, 21, floor=np.sort(wanted)[-21])
+    assert later <= read
+    cursors = topk.Cursors(q, lists)
+    for loss in (100.0, 2000.0, 9000.0):
+        cursors.advance(loss)
+        assert (cursors.upper(loss) >= wanted).all() and (cursors.lower() <= wanted).all()
+        assert cursors.read == cursors.met.sum() == cursors.at.sum()  # nothing is known but what was read
+
+
+def test_candidates_are_not_copied_for_every_few_queries(spark):
+    """One block of queries up to its size: the dealt rows grow in proportion."""
+    import inspect
+
+    blocks = inspect.signature(topk.top_k).parameters["queries_in_block"].default
+    assert blocks * 64 >= 1 << 20
+
+
 @pytest.mark.parametrize("part_bytes", [32 << 20, 400])
 def test_shards_hold_all_rows_in_equal_bytes(spark, part_bytes):
     random.seed(6)
     docs = [(i, "x" * random.randrange(60)) for i in range(3000)]
     docs += [(77, "same text")] * 2000 + [(None, None), (None, ""), (5000, None), (5001, "y" * 500)]
-    frame = common.materialize(spark.createDataFrame(docs, DOCS).withColumns({"shard": F.lit("clash"), "k": F.lit(1)}).repartition(7), "t")
+    own = ("_k", "_m", "_p", "_part", "k", "before")
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"shard": F.lit("clash"), **{c: F.lit(c) for c in own}}).repartition(7)
     found = sharding.histogram_sort(frame, part_bytes=part_bytes).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(docs)
-    assert all(r["size"] == len(r.text or "") + 8 for r in found)
+    assert all(r["size"] == len(r.text or "") + 8 and all(r[c] == c for c in own) for r in found)
     by = {}
     for r in found:
         by.setdefault(r.shard, []).append(r)
@@ -154,12 +189,34 @@ def test_shards_hold_all_rows_in_equal_bytes(spark, part_bytes):
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
     sizes = [sum(r["size"] for r in rows) for rows in by.values()]
     assert max(sizes) - min(sizes) <= 2 * (508 + 0.002 * sum(sizes) / 24)
-    order = [(by_shard.doc_id is not None, by_shard.doc_id or 0) for s in range(24) for by_shard in sorted(by[s], key=lambda r: r.slot)]
-    assert order == sorted(order)
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
+    assert all(max(map(key, by[s])) <= min(map(key, by[s + 1])) for s in range(23))
+    if part_bytes > 400:  # a shard of one part is sorted within, too
+        order = [key(r) for s in range(24) for r in sorted(by[s], key=lambda r: r.slot)]
+        assert order == sorted(order)
+
+
+def test_the_sharding_query_has_all_seven_columns(spark):
+    from tests.support import SMALL
+
+    found = sharding.op9_sharding(spark, SMALL).toPandas()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
+    assert list(found.columns) == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted(found.doc_id) == sorted(docs.index) and set(found.law) == {"bytes"} and found.grown_shard.isna().all()
+    for r in found.itertuples():
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard")) and found.shard.between(0, 23).all()
+
+
+def test_rows_move_once(spark):
+    plan = sharding.histogram_sort(spark.createDataFrame([(i, "a" * i) for i in range(50)], DOCS))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    assert len(moved) == 1 and "REPARTITION" in moved[0]
 
 
 def test_fewer_rows_than_shards(spark):
-    found = sharding.histogram_sort(common.materialize(spark.createDataFrame([(1, "a"), (2, "b")], DOCS), "t")).collect()
+    found = sharding.histogram_sort(spark.createDataFrame([(1, "a"), (2, "b")], DOCS)).collect()
     assert len({r.shard for r in found}) == 2 and {r.slot for r in found} == {0}
 
 
