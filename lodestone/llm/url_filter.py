@@ -8,12 +8,20 @@ parent's posterior mean. A page is allowed if the lower bound of its host's
 posterior, mean - z * sd, reaches ``least``; a host without labels has its
 domain's, its suffix's or the whole table's mean.
 
-Outcomes: ``labels.quality`` of the document whose id is the page's.
+Outcomes come from what a page says: a page is labelled if at least half of its
+sentences (five words or more) stand in labelled documents, and good if the mean
+quality of the documents that have them reaches one half. Sentences are met by hash,
+each with the sums of its documents' labels, so a sentence that many have is one row.
+
+The registered domain is the last two labels of a host, or three where a general
+second label stands before a country's (``co.uk``); an address is its own domain. User
+names, ports and a last dot are no part of either.
 
 Cases: a null url or one without ``://`` has an empty host and path, fits no rule
-and is judged as the host named by the empty string; null labels and ids are no
-outcomes; a page labelled more than once has that many outcomes; repeated pages
-stay; without any label all means are one half; further columns are ignored.
+and is judged as the host named by the empty string; pages without a text and documents
+without a label are no outcomes, nor are null labels and ids; a document labelled more
+than once counts as often; repeated pages stay, each a trial; without any label all
+means are one half; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +29,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import materialize, numbered, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Suffixes of two labels; all others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za")
+#: Second labels under which countries (two letters) register domains.
+SECOND_LABELS = ("ac", "asso", "co", "com", "ed", "edu", "gob", "gouv", "gov", "govt", "go", "gv", "id", "ltd", "me", "mil", "ne", "net", "nic", "nom", "or", "org", "plc", "res", "sch")
+TWO_LABEL_SUFFIX = rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"
+ADDRESS = r"^([0-9.]+|\[.*\])$"
+ADDRESSES = "(address)"
+#: What of a page is no text, tags that part no sentences, and all other tags.
+NO_TEXT = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>"
+INLINE = r"(?i)</?(a|b|i|u|em|strong|span|small|sub|sup|font|code)(\s[^>]*)?>"
+TAG, ENTITY = r"<[^>]*>", r"&([a-zA-Z]+|#[0-9]+);"
+END, NO_WORD = r"[.!?\n]+", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+LEAST_WORDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +66,44 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Col
 
 def levels(host: Column) -> tuple[Column, Column]:
     """(registered domain, suffix) of a host."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.$", "")
+    address, two = name.rlike(ADDRESS), F.substring_index(name, ".", -2)
+    long = two.rlike(TWO_LABEL_SUFFIX)
+    domain = F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, ADDRESSES).when(long, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def page_text(html: Column) -> Column:
+    """What a page says; tags that part paragraphs become line ends."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NO_TEXT, "\n"), INLINE, ""), TAG, "\n")
+    return F.regexp_replace(plain, ENTITY, " ")
+
+
+def sentence_hashes(text: Column) -> Column:
+    """Distinct hashes of a text's sentences of ``LEAST_WORDS`` words or more, as words in
+    lower case; none of a null text."""
+    lines = F.regexp_replace(F.translate(text, UPPER, LOWER), END, "\n")
+    sentences = F.split(F.regexp_replace(lines, NO_WORD, " "), " *\n *")
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    long = F.filter(F.transform(sentences, F.trim), lambda s: spaces(s) >= LEAST_WORDS - 1)
+    return F.coalesce(F.array_distinct(F.transform(long, lambda s: F.xxhash64(s))), F.array().cast("array<bigint>"))
+
+
+def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """host, good, n: the labelled pages of every host of ``pages`` (url, html), from
+    ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
+    host, _ = host_and_path(F.col("url"))
+    read = numbered(pages.select(host.alias("host"), sentence_hashes(page_text(F.col("html"))).alias("said")), "rid")
+    told = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
+    known = docs.select("doc_id", sentence_hashes(F.col("text")).alias("said")).filter(F.size("said") > 0).join(told, "doc_id")
+    rates = known.select(F.explode("said").alias("h"), "good", "n").groupBy("h").agg((F.sum("good") / F.sum("n")).alias("rate"))
+    spread = read.select("rid", F.explode("said").alias("h"))
+    # written, so that the join has two plain shuffles, of which AQE can split a sentence that all pages have
+    rates = materialize(rates.join(spread.select("h").distinct(), "h", "left_semi"), "rates")
+    found = spread.join(rates, "h").groupBy("rid").agg(F.count(F.lit(1)).alias("met"), F.round(F.sum("rate"), 9).alias("rate"))
+    good, labelled = (2 * F.col("rate") >= F.col("met")).cast("long"), 2 * F.col("met") >= F.size("said")
+    trials = read.join(found, "rid", "left").select("host", F.when(labelled, good).alias("good"), F.coalesce(labelled, F.lit(False)).cast("long").alias("n"))
+    return trials.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.sum("n").alias("n"))
 
 
 def _shrunk(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> DataFrame:
@@ -95,21 +147,20 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     return low.select("host", "mean", "strength", (F.col("mean") - z * sd).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, bound of every page."""
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, least: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule, verdict, bound of every page (page_id, url), from
+    outcomes (host, good, n) of all hosts."""
     host, path = host_and_path(F.col("url"))
     read = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
-    outcomes = read.select("page_id", "host").join(found.withColumnRenamed("doc_id", "page_id"), "page_id", "left")
-    outcomes = outcomes.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = read.join(host_reputation(outcomes).select("host", "bound"), "host", "left")
+    judged = read.join(materialize(host_reputation(outcomes).select("host", "bound"), "reputation"), "host", "left")
     own = F.when(F.col("bound") >= least, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bound", 6).alias("bound"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def _level_sql(name: str, groups: str) -> str:
@@ -120,16 +171,27 @@ def _level_sql(name: str, groups: str) -> str:
   (SELECT CASE WHEN ne > e AND d > e THEN least(1000.0, greatest(1.0, (ne - e) / (d - e) - 1)) ELSE 1000.0 END AS prior FROM {name}_s) p)"""
 
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+def _sentences_sql(text: str) -> str:
+    lines = f"regexp_replace(regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{END}', chr(10), 'g'), '{NO_WORD}', ' ', 'g')"
+    return f"list_distinct(list_filter(list_transform(regexp_split_to_array({lines}, ' *\\n *'), lambda s: trim(s, ' ')), lambda s: length(s) - length(replace(s, ' ', '')) >= {LEAST_WORDS - 1}))"
+
+
+_PAGE_SQL = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{NO_TEXT}', chr(10), 'g'), '{INLINE}', '', 'g'), '{TAG}', chr(10), 'g'), '{ENTITY}', ' ', 'g')"
 ORACLE_SQL = f"""
-WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+WITH u AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 r AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 f AS (SELECT doc_id, count(*) FILTER (quality > 0) AS good, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-o AS (SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, coalesce(sum(n), 0)::DOUBLE AS n, string_split(host, '.') AS parts FROM r LEFT JOIN f ON doc_id = page_id GROUP BY host),
-o2 AS (SELECT host, good, n, array_to_string(parts[-2:], '.') IN ({_TWO}) AS two, parts FROM o),
-hosts AS (SELECT host, good, n, array_to_string(CASE WHEN two THEN parts[-3:] ELSE parts[-2:] END, '.') AS domain,
-  array_to_string(CASE WHEN two THEN parts[-2:] ELSE parts[-1:] END, '.') AS suffix FROM o2),
+k AS (SELECT unnest({_sentences_sql('text')}) AS s, good, n FROM documents JOIN f USING (doc_id)),
+q AS (SELECT s, sum(good) / sum(n) AS rate FROM k GROUP BY s),
+ps AS (SELECT page_id, {_sentences_sql(_PAGE_SQL)} AS said FROM pages),
+pq AS (SELECT page_id, count(*) AS met, round(sum(rate), 9) AS rate FROM (SELECT page_id, unnest(said) AS s FROM ps) JOIN q USING (s) GROUP BY page_id),
+t AS (SELECT page_id, CASE WHEN 2 * met >= len(said) THEN (2 * rate >= met)::INT END AS good, coalesce(2 * met >= len(said), false)::INT AS n FROM ps LEFT JOIN pq USING (page_id)),
+o AS (SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, sum(n)::DOUBLE AS n,
+  regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS name FROM r JOIN t USING (page_id) GROUP BY host),
+o2 AS (SELECT *, regexp_matches(name, '{ADDRESS}') AS ip, regexp_matches(array_to_string(string_split(name, '.')[-2:], '.'), '{TWO_LABEL_SUFFIX}') AS two, string_split(name, '.') AS parts FROM o),
+hosts AS (SELECT host, good, n, CASE WHEN ip THEN name ELSE array_to_string(CASE WHEN two THEN parts[-3:] ELSE parts[-2:] END, '.') END AS domain,
+  CASE WHEN ip THEN '{ADDRESSES}' ELSE array_to_string(CASE WHEN two THEN parts[-2:] ELSE parts[-1:] END, '.') END AS suffix FROM o2),
 domains AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domains GROUP BY ALL),
 w AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS parent FROM suffixes),

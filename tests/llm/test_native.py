@@ -63,21 +63,53 @@ def test_hosts_paths_and_rules(spark):
         "http://?q": ("", "", None),
     }
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    labels = spark.createDataFrame([], "doc_id long, quality int")
-    found = {r.page_id: r for r in url_filter.filter_urls(pages, labels).collect()}
+    none = spark.createDataFrame([], "host string, good long, n long")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, none).collect()}
     for i, (_, wanted) in enumerate(urls.items()):
         assert (found[i].host, found[i].path, found[i].rule) == wanted
     assert {found[i].verdict for i in range(len(urls)) if found[i].rule in ("net/", "example.com/de/")} == {"block"}
-    assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
+    assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
-def test_reputation_shrinks_to_the_parents(spark):
-    """A bad host is blocked, an unseen host of a good domain is not."""
-    pages = [(i, f"http://bad.site.com/{i}") for i in range(40)] + [(100 + i, f"http://h{i % 20}.fine.com/{i}") for i in range(200)] + [(999, "http://new.fine.com/")]
-    labels = [(i, 0) for i in range(40)] + [(100 + i, 1) for i in range(200)] + [(100, None), (None, 0)]
-    found = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"))
-    verdict = {r.page_id: r.verdict for r in found.collect()}
-    assert verdict[0] == "block" and verdict[100] == "allow" and verdict[999] == "allow"
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "x.site.co.uk": ("site.co.uk", "co.uk"), "site.co.uk:8080": ("site.co.uk", "co.uk"), "user@shop.de:1": ("shop.de", "de"), "com.example.org.": ("example.org", "org"),
+             "localhost:9": ("localhost", "localhost"), "127.0.0.1:80": ("127.0.0.1", "(address)"), "[::1]:80": ("[::1]", "(address)"), "": ("", ""), "co.com": ("co.com", "com")}
+    domain, suffix = url_filter.levels(F.col("host"))
+    found = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in found} == hosts
+
+
+def _judged(spark, pages, docs, labels):
+    """pages: (id, url, text)."""
+    html = [(i, u, f"<nav>one two three four five</nav><p>{t.replace('. ', '.</p><p><b>')}</p>" if t is not None else None, "clash") for i, u, t in pages]
+    frame = spark.createDataFrame(html, "page_id long, url string, html string, rid string").repartition(3)
+    outcomes = url_filter.page_outcomes(frame, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    return {r.page_id: r for r in url_filter.filter_urls(frame, outcomes).collect()}, {r.host: (r.good, r.n) for r in outcomes.collect()}
+
+
+def _story(i, n=4):
+    return ". ".join(f"Word{i} number{j} tells of thing{i * j} and more" for j in range(n)) + "."
+
+
+def test_bad_hosts_are_blocked_and_unlabelled_ones_follow_their_domain(spark):
+    docs = [(i, _story(i)) for i in range(240)] + [(500, None), (None, _story(3))]
+    labels = [(i, 0 if i < 40 else 1) for i in range(240)] + [(100, None), (None, 0), (500, 0)]
+    pages = [(i, f"http://bad.site.com/{i}", _story(i)) for i in range(40)] + [(100 + i, f"http://h{i % 20}.fine.com/{i}", _story(40 + i)) for i in range(200)]
+    pages += [(999, "http://new.fine.com/", "Nothing that any labelled document has said before."), (1000, "http://x.site.com/", None), (1001, "http://bad.site.com/", "")]
+    pages += [(1002, "http://odd.org/", _story(5, 1) + " One that is not known to anyone. And another that nobody knows either.")]
+    verdict, outcomes = _judged(spark, pages, docs, labels)
+    assert verdict[0].verdict == verdict[1001].verdict == "block"
+    assert verdict[1000].verdict == "block"  # its domain's only other host is bad
+    assert verdict[100].verdict == verdict[999].verdict == "allow"
+    assert outcomes["bad.site.com"] == (0, 40) and outcomes["new.fine.com"] == (0, 0) and outcomes["odd.org"] == (0, 0)
+    assert sum(n for _, n in outcomes.values()) == 240
+
+
+def test_repeated_pages_and_common_sentences(spark):
+    docs, labels = [(i, "All of them say this one thing. " + _story(i)) for i in range(30)], [(i, i % 3 > 0) for i in range(30)]
+    pages = [(7, "http://a.com/", _story(1))] * 3 + [(i, "http://b.com/", "All of them say this one thing.") for i in range(5)]
+    verdict, outcomes = _judged(spark, pages, docs, [(d, int(q)) for d, q in labels])
+    assert outcomes == {"a.com": (3, 3), "b.com": (5, 5)} and len(verdict) == 6
 
 
 def _words(text):
