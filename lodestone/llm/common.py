@@ -20,6 +20,10 @@ _SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Has Spark delete a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,12 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no more than a reread. The table goes with
-    :func:`discard`, or when the driver ends."""
+    lineage, and a lost executor costs no more than a reread. The shuffle files of the
+    job go when the table is there. The table goes with :func:`discard`, or when the
+    driver ends."""
     spark = df.sparkSession
     ship(spark)
     name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(name)
+    kept = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(name)
+    finally:
+        spark.conf.set(_CLEANUP, kept)
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     found = spark.read.schema(df.schema).parquet(name)
