@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,22 +51,23 @@ def sections(text: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 def _packed(heading: str, text: str, begin: int, end: int, largest: int) -> Iterator[tuple[str, str, int, int]]:
-    """A long section, its paragraphs packed in order; one alone may be longer."""
-    held: list[str] = []
-    size = 0
+    """A long section as runs of whole paragraphs; a paragraph alone may be longer.
 
-    def passage(last: int) -> tuple[str, str, int, int]:
-        return heading, "\n\n".join(held).strip(_BLANK), begin, last
-
-    for paragraph in _BREAK.split(text):
-        if held and size + len(paragraph) > largest:
-            last = begin + "\n\n".join(held).count("\n")
-            yield passage(last)
-            held, size, begin = [], 0, last + 1
-        held.append(paragraph)
-        size += len(paragraph) + 2
-    if held:
-        yield passage(end)
+    Where runs begin is found from the paragraphs' lengths; then each is cut out, with
+    the lines that it takes. Between paragraphs one empty line counts.
+    """
+    paragraphs = _BREAK.split(text)
+    starts, room = [0], largest
+    for i, size in enumerate(map(len, paragraphs)):
+        if i > starts[-1] and size > room:
+            starts.append(i)
+            room = largest
+        room -= size + 2
+    first = begin
+    for a, b in pairwise([*starts, len(paragraphs)]):
+        last = first + sum(p.count("\n") for p in paragraphs[a:b]) + 2 * (b - a - 1)
+        yield heading, "\n\n".join(paragraphs[a:b]).strip(_BLANK), first, end if b == len(paragraphs) else last
+        first = last + 1
 
 
 def chunk_text(clean: str, single: int = SINGLE, largest: int = LARGEST) -> list[tuple[str, str, int, int]]:
@@ -88,6 +90,20 @@ def _chunk(clean: pa.Array) -> pa.Array:
     return pa.array([[dict(zip(_SECTION_NAMES, c, strict=True)) for c in chunk_text(t or "")] for t in clean.to_pylist()], _CHUNK_TYPE)
 
 
+_CAREFUL = pa.struct([("chunks", _CHUNK_TYPE), ("error", pa.string())])
+
+
+def _chunk_carefully(clean: pa.Array) -> pa.Array:
+    """Each text's passages, or what went wrong with that text."""
+    out = []
+    for t in clean.to_pylist():
+        try:
+            out.append({"chunks": [dict(zip(_SECTION_NAMES, c, strict=True)) for c in chunk_text(t or "")], "error": None})
+        except Exception as e:  # any failure is that note's own
+            out.append({"chunks": [dict.fromkeys(_SECTION_NAMES)], "error": f"{type(e).__name__}: {e}"})
+    return pa.array(out, _CAREFUL)
+
+
 def _sections(clean: pa.Array) -> pa.Array:
     return pa.array([[dict(zip(_SECTION_NAMES, c, strict=True)) for c in sections(t or "")] for t in clean.to_pylist()], _CHUNK_TYPE)
 
@@ -105,9 +121,14 @@ def parse_sections(content: Column) -> Column:
 
 
 def passages(notes: DataFrame) -> DataFrame:
-    """One row per passage of ``notes`` (file, mtime, content), numbered in its note."""
-    cut = notes.select("file", "mtime", T.fingerprint(F.col("content")).alias("content_hash"), F.posexplode(chunks(F.col("content"))).alias("chunk_no", "c"))
-    return cut.select("file", "chunk_no", "c.heading", "c.text", "c.line_start", "c.line_end", "mtime", "content_hash")
+    """One row per passage of ``notes`` (file, mtime, content), numbered in its note, with
+    ``chunk_error``: null, or why the note could not be cut; such a note has one row,
+    without a number."""
+    cut = F.arrow_udf(_chunk_carefully, f"chunks {CHUNKS}, error string")(cleaned(F.col("content")))
+    made = notes.select("file", "mtime", T.fingerprint(F.col("content")).alias("content_hash"), cut.alias("_made"))
+    spread = made.select("file", "mtime", "content_hash", F.col("_made.error").alias("chunk_error"), F.posexplode("_made.chunks").alias("chunk_no", "c"))
+    number = F.when(F.col("chunk_error").isNull(), F.col("chunk_no"))
+    return spread.select("file", number.alias("chunk_no"), "c.heading", "c.text", "c.line_start", "c.line_end", "mtime", "content_hash", "chunk_error")
 
 
 def same_chunks(a: Column, b: Column) -> Column:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
@@ -83,9 +84,40 @@ def embedder(kind: str = "passage", model: type = HashingEmbedder, dimension: in
     return F.arrow_udf(run, "array<float>")
 
 
+def careful_embedder(kind: str = "passage", model: type = HashingEmbedder, dimension: int = 64):  # noqa: ANN201
+    """A column function from text to a struct of ``embedding`` and ``error``. Where a
+    batch fails its texts are tried one by one; what then fails has the error alone."""
+
+    def one(loaded: Embedder, text: str) -> dict:
+        try:
+            return {"embedding": embed_all(loaded, [text], kind)[0].astype(np.float32), "error": None}
+        except Exception as e:  # any failure of a model is that text's own
+            return {"embedding": None, "error": f"{type(e).__name__}: {e}"}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        loaded = _loaded(model, dimension)
+        for b in batches:
+            texts = [t or "" for t in b.to_pylist()]
+            try:
+                found = [{"embedding": v, "error": None} for v in embed_all(loaded, texts, kind).astype(np.float32)]
+            except Exception:  # one by one, to see which
+                found = [one(loaded, t) for t in texts]
+            yield pa.array(found, _CAREFUL)
+
+    return F.arrow_udf(run, "embedding array<float>, error string")
+
+
+_CAREFUL = pa.struct([("embedding", pa.list_(pa.float32())), ("error", pa.string())])
+
+
 def embed_passages(passages: DataFrame, embed: object = None) -> DataFrame:
-    made = (embed or embedder())(T.embedding_text(F.col("file"), F.col("heading"), F.col("text")))
-    return passages.withColumn("embedding", made)
+    """``passages`` with ``embedding`` and ``error``, of which one is null. ``embed``, a
+    column function, gives a vector or a struct of these two."""
+    made = (embed or careful_embedder())(T.embedding_text(F.col("file"), F.col("heading"), F.col("text")))
+    found = passages.withColumn("_made", made)
+    if isinstance(found.schema["_made"].dataType, ArrayType):
+        found = found.withColumn("_made", F.struct(F.col("_made").alias("embedding"), F.when(F.col("_made").isNull(), "no vector").alias("error")))
+    return found.withColumns({"embedding": F.col("_made.embedding"), "error": F.col("_made.error")}).drop("_made")
 
 
 def phrase_key(c: Column) -> Column:
@@ -101,3 +133,11 @@ def embed_phrases(candidates: DataFrame, known: DataFrame | None = None, embed:
         distinct = distinct.join(known.select("phrase_key"), "phrase_key", "left_anti")
     fresh = distinct.select("phrase_key", V.quantize((embed or embedder("phrase"))("phrase")).alias("vector"))
     return fresh if known is None else known.select("phrase_key", "vector").unionByName(fresh)
+
+
+def phrase_dictionary(index: DataFrame) -> DataFrame:
+    """phrase_key and vector of all candidates of an index; of several vectors of one
+    phrase the last stands, in the order of files, passages and candidates."""
+    spread = index.select("file", "chunk_no", F.posexplode("candidates").alias("pos", "c"))
+    keyed = spread.select(phrase_key(F.col("c.phrase")).alias("phrase_key"), F.col("c.vector").alias("vector"), F.struct("file", "chunk_no", "pos").alias("at"))
+    return keyed.groupBy("phrase_key").agg(F.max_by("vector", "at").alias("vector"))

@@ -19,13 +19,29 @@ class NotReady(Exception):
 
 
 class Explorer:
-    """Searches one snapshot of an index (the store's schema). Make a new one after an
-    update: the caches belong to the snapshot."""
+    """Searches a snapshot of an index (the store's schema). The token sets of paths are
+    kept with it, as a cached side table. :meth:`refresh` takes a newer snapshot."""
 
     def __init__(self, index: DataFrame, model: embed.Embedder, settings: Settings | None = None):
         self.model, self.settings = model, settings or Settings()
+        self.vectors, self.found, self.lexical = query_cache(), result_cache(), None
+        self.refresh(index)
+
+    def refresh(self, index: DataFrame) -> None:
+        """Search ``index`` from now on: what was found before is forgotten."""
+        self.found.clear()
+        self.vectors.clear()
+        if self.lexical is not None:
+            self.lexical.unpersist()
+        self.lexical = search.with_lexical(index.select("file").distinct()).cache()
         self.passages = index.withColumn("passage_id", F.xxhash64("file", "chunk_no"))
-        self.vectors, self.found = query_cache(), result_cache()
+
+    def is_alive(self) -> bool:
+        """Whether a search of anything finds something."""
+        try:
+            return not self.hits("test", 1, 0.0, 1.0).isEmpty()
+        except NotReady:
+            return False
 
     def query_vector(self, query: str) -> list[float]:
         key = " ".join(query.split()).lower()
@@ -41,7 +57,8 @@ class Explorer:
             raise NotReady
         t, spark = self.settings.tuning, self.passages.sparkSession
         vector = self.query_vector(query)
-        found = search.search(self.passages, vector, query, top_k, min_score, window, boost, file)
+        narrow = self.passages.select("passage_id", "file", "embedding").join(self.lexical, "file")
+        found = search.search(narrow, vector, query, top_k, min_score, window, boost, file)
         found = spark.createDataFrame(found.collect(), found.schema)  # at most a thousand rows
         wide = search.fetch(found, self.passages)
         own = wide.select("passage_id", F.posexplode("candidates").alias("pos", "c")).select("passage_id", "pos", "c.*")

@@ -15,10 +15,11 @@ QUERY_CACHE, RESULT_CACHE = 48, 80
 
 class BoundedCache:
     """A cache of ``most`` entries. With ``refresh``, a hit makes an entry the newest;
-    without, entries leave in the order in which they came."""
+    without, entries leave in the order in which they came. ``dropped`` gets each value
+    that leaves."""
 
-    def __init__(self, most: int, refresh: bool):
-        self.most, self.refresh, self.entries = most, refresh, OrderedDict()
+    def __init__(self, most: int, refresh: bool, dropped: Callable[[Any], Any] = lambda value: None):
+        self.most, self.refresh, self.entries, self.dropped = most, refresh, OrderedDict(), dropped
 
     def get(self, key: Hashable, make: Callable[[], Any]) -> Any:
         if key in self.entries:
@@ -28,11 +29,12 @@ class BoundedCache:
         value = make()  # an error leaves nothing behind
         self.entries[key] = value
         while len(self.entries) > self.most:
-            self.entries.popitem(last=False)
+            self.dropped(self.entries.popitem(last=False)[1])
         return value
 
     def clear(self) -> None:
-        self.entries.clear()
+        while self.entries:
+            self.dropped(self.entries.popitem(last=False)[1])
 
 
 def query_cache() -> BoundedCache:
@@ -40,7 +42,8 @@ def query_cache() -> BoundedCache:
 
 
 def result_cache() -> BoundedCache:
-    return BoundedCache(RESULT_CACHE, refresh=True)
+    """Of cached DataFrames: those that leave are freed."""
+    return BoundedCache(RESULT_CACHE, refresh=True, dropped=lambda df: df.unpersist())
 
 
 class Superseded(Exception):
@@ -49,25 +52,35 @@ class Superseded(Exception):
 
 class LiveSearch:
     """At most one search runs and one waits. A newer request replaces the one that
-    waits, and what a running one finds is dropped if another has come since."""
+    waits and cancels the jobs of the one that runs; a superseded search finds nothing."""
 
     def __init__(self, spark: SparkSession, run: Callable[[Any], Any]):
         self.spark, self.run, self.lock, self.newest = spark, run, threading.Lock(), 0
-        self.turn = threading.Lock()
+        self.turn, self.running = threading.Lock(), ""
 
     def search(self, request: Any) -> Any:
         with self.lock:
             self.newest += 1
             own = self.newest
+            if self.running:
+                self.spark.interruptTag(self.running)
         with self.turn:
-            if own != self.newest:
-                raise Superseded
             tag = f"live-search-{own}"
+            with self.lock:
+                if own != self.newest:
+                    raise Superseded
+                self.running = tag
             self.spark.addTag(tag)
             try:
                 found = self.run(request)
+            except Exception:
+                if own != self.newest:  # cancelled
+                    raise Superseded from None
+                raise
             finally:
                 self.spark.removeTag(tag)
+                with self.lock:
+                    self.running = ""
         if own != self.newest:
             raise Superseded
         return found

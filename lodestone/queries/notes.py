@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import embed, highlight, index, phrases, results, search
 from lodestone.queries.base import QUERY, passages, query_sql, query_vector, read
-from lodestone.queries.texts import _LIST, _SENTENCES, _WORD_SQL, lemma_sql
+from lodestone.queries.texts import _LIST, _SENTENCES, _WORD_SQL, STOPS, lemma_sql
 from lodestone.sources import index_store
 from lodestone.sources import notes as sources
 from lodestone.streaming import updates
@@ -38,7 +38,7 @@ _NGRAMS = f"""{_BENCH_SAMPLED}, w AS (SELECT item_id, sentence_id, regexp_extrac
 u AS (SELECT item_id, sentence_id, w, unnest(range(len(w)))::INTEGER AS start FROM w), n AS (SELECT *, unnest([1, 2, 3]) AS words FROM u),
 r AS (SELECT item_id, sentence_id, start, words, w[start + 1 : start + words] AS run FROM n WHERE start + words <= len(w)),
 m AS (SELECT *, list_transform(run, lambda x: {lemma_sql('x')}) AS lem, array_to_string(list_transform(run, lambda x: regexp_replace(x, '[.,!?]+$', '')), ' ') AS phrase FROM r),
-st AS (SELECT *, list_transform(lem, lambda x: x IN ({_LIST(T.STOP_WORDS)})) AS stop FROM m),
+st AS (SELECT *, list_transform(lem, lambda x: x IN ({_LIST(STOPS)})) AS stop FROM m),
 ng AS (SELECT item_id, sentence_id, start, words::INTEGER AS words, phrase FROM st WHERE (NOT stop[1] OR (words > 1 AND lem[1] IN ('a', 'an', 'the'))) AND NOT stop[-1]
   AND len(list_filter(stop, lambda x: NOT x)) > 0 AND length(phrase) BETWEEN 3 AND 60)"""
 NGRAMS_SQL = f"WITH {_NGRAMS} SELECT * FROM ng"

@@ -75,7 +75,7 @@ _MARKED = """k AS (SELECT doc_id, replace(replace(regexp_replace(regexp_replace(
 
 def _chain(x: str, steps: tuple[tuple[str, str], ...]) -> str:
     for pattern, to in steps:
-        pattern = pattern.replace("(?U)", "").replace("'", "''")
+        pattern = pattern.replace("'", "''")
         x = f"regexp_replace({x}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
     return f"trim({x}, {_BLANK})"
 
@@ -84,7 +84,11 @@ def clean_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("doc_id", F.md5(T.clean_for_index(F.col("body"))).alias("hash"))
 
 
-_INDEX_STEPS = (T.FENCE, T.CODE, (r"!?(?:\[\[|\[)([^\]|]+)(?:\|[^\]]+)?(?:\]\]|\](?:\([^)]*\))?)", "$1"), T.LINE_PREFIX, (r"[*_~=#|<>]", " "), T.SPACES)
+# Fixed values, written for SQL on their own, so that a slip in the engine shows.
+_CODE_STEPS = (("(?s)```.*?```", " "), ("`([^`]+)`", "$1"))
+_PREFIX_STEP = (r"(?m)^\s{0,3}(?:######|#####|####|###|##|#|>|[-*+] |[0-9]+[.)] )\s*", "")
+_ONE_SPACE = (r"\s+", " ")
+_INDEX_STEPS = (*_CODE_STEPS, (r"!?\[\[?([^\]|]+)(?:\|[^\]]+)?(?:\]\]|\](?:\([^)]*\))?)", "$1"), _PREFIX_STEP, (r"[*_~=#|<>]", " "), _ONE_SPACE)
 CLEAN_INDEX_SQL = f"WITH {_MARKED} SELECT doc_id, md5({_chain('body', _INDEX_STEPS)}) AS hash FROM k"
 
 
@@ -94,7 +98,13 @@ def clean_text_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("doc_id", F.md5(T.clean_for_reader(body)).alias("hash"))
 
 
-_READER = tuple(s for s in T.READER_STEPS if "(?<!" not in s[0])
+# Fixed values for SQL; without the rule of single asterisks.
+_READER = (
+    (r"^---\s*(?s:.*?)\n---\s*", ""), *_CODE_STEPS, (r"!\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1"), (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"), (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*>\s*\[![^\]]+\][-+]?\s*", ""), _PREFIX_STEP,
+    (r"(?m)^\s*\|?\s*:?---+:?\s*(?:\|\s*:?---+:?\s*)+\|?\s*$", " "), (r"\|", " · "), (r"(?:\*\*|__|~~|==)(.*?)(?:\*\*|__|~~|==)", "$1"), ("<[^>]+>", " "),
+    (r"(^|\s)#[\p{L}\p{N}_/-]+", "$1"), _ONE_SPACE,
+)
 CLEAN_RESULT_SQL = f"WITH {_MARKED} SELECT doc_id, md5({_chain('''regexp_replace(body, '(\\*\\*)|\\*', '\\1', 'g')''', _READER)}) AS hash FROM k"
 
 
@@ -105,11 +115,23 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS_SQL = f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY ALL"
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
+# Fixed values for SQL: stop words of lemmas and of terms, irregular forms, words, terms.
+STOPS = (
+    "a about an and are as at be because been being between but by can could do does for from had has have how i in into is it its may might more my not of on or our "
+    "out over she so than that the their them then they this those through to under up vs was we were what when where which while who with without would you your"
+).split()
+TERM_STOPS = (
+    "about after again also and are because been before being between but can could does for from have into more not that the their then there these they this those through "
+    "was were what when where which while who with would your"
+).split()
+FORMS = {"children": "child", "feelings": "feel", "feels": "feel", "felt": "feel", "men": "man", "people": "person", "women": "woman"}
+_WORD_SQL = "[\\p{L}\\p{N}][\\p{L}\\p{N}''’.-]*"
+_TERM_SQL = "[\\p{L}\\p{N}][\\p{L}\\p{N}''-]*"
 
 
 def lemma_sql(x: str) -> str:
     w = f"regexp_replace(lower({x}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
-    irregular = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items())
+    irregular = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in FORMS.items())
 
     def undouble(n: int) -> str:
         c = f"left({w}, length({w}) - {n})"
@@ -124,9 +146,8 @@ def lemma_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", "n", T.lemma(F.col("word")).alias("lemma"), T.is_stop(T.lemma(F.col("word"))).alias("stop"))
 
 
-_WORD_SQL = T.WORD.replace("'", "''")
 LEMMA_SQL = f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_WORD_SQL}')) AS word FROM documents) GROUP BY word)
-SELECT word, n, {lemma_sql('word')} AS lemma, ({lemma_sql('word')}) IN ({_LIST(T.STOP_WORDS)}) AS stop FROM w"""
+SELECT word, n, {lemma_sql('word')} AS lemma, ({lemma_sql('word')}) IN ({_LIST(STOPS)}) AS stop FROM w"""
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +155,8 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.explode(T.query_terms(F.col("text"))).alias("term"))
 
 
-QUERY_TERMS_SQL = f"""SELECT DISTINCT conv_id, turn, term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{T.TERM.replace("'", "''")}')) AS term FROM conversations WHERE role = 'user')
-WHERE length(term) > 2 AND term NOT IN ({_LIST(T.TERM_STOP_WORDS)})"""
+QUERY_TERMS_SQL = f"""SELECT DISTINCT conv_id, turn, term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{_TERM_SQL}')) AS term FROM conversations WHERE role = 'user')
+WHERE length(term) > 2 AND term NOT IN ({_LIST(TERM_STOPS)})"""
 
 
 def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +165,7 @@ def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY_ANCHORS_SQL = f"""SELECT DISTINCT conv_id, turn, {lemma_sql('word')} AS anchor FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{_WORD_SQL}')) AS word FROM conversations WHERE role = 'user')
-WHERE length({lemma_sql('word')}) > 2 AND ({lemma_sql('word')}) NOT IN ({_LIST(T.STOP_WORDS)})"""
+WHERE length({lemma_sql('word')}) > 2 AND ({lemma_sql('word')}) NOT IN ({_LIST(STOPS)})"""
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +242,19 @@ def mark_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def in_note_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = media.in_note_matches(rows, F.lit("and the"), T.query_terms(F.lit("and the thing")), F.array(F.lit("of the"), F.lit("The")))
-    spread = found.select("doc_id", "text", F.explode("matches").alias("m"))
-    at = T.offset_to_position(F.col("text"), F.col("m.from").cast("int"))
-    return spread.select("doc_id", F.col("m.from").alias("from"), F.col("m.to").alias("to"), F.lower("m.text").alias("text"), at["line"].alias("line"), at["ch"].alias("ch"))
+    spread = found.select("doc_id", F.explode("matches").alias("m"))
+    return spread.select("doc_id", F.col("m.from").alias("from"), F.col("m.to").alias("to"), F.lower("m.text").alias("text"), F.col("m.line").alias("line"), F.col("m.ch").alias("ch"))
+
+
+# Matches are found longest phrase first, and none overlaps an earlier one. A phrase's own
+# are its occurrences from left to right; as each begins and ends with a whole word and no
+# phrase here can overlap itself, the greedy choice is: keep what meets no longer phrase.
+IN_NOTE_SQL = f"""WITH c AS (SELECT doc_id, text, string_split(lower(text), '') AS l FROM documents WHERE length(lower(text)) = length(text)),
+ph AS (SELECT * FROM (VALUES ('and the', 1), ('of the', 3), ('thing', 4), ('the', 5)) t(p, r)),
+h AS (SELECT doc_id, text, p, r, unnest(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(lower(text), i, length(p)) = p)) AS i FROM c, ph WHERE contains(lower(text), p)),
+w AS (SELECT doc_id, text, p, r, i - 1 AS a, i - 1 + length(p) AS b FROM h WHERE NOT regexp_matches(substr(text, i - 1, CASE WHEN i > 1 THEN 1 ELSE 0 END), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(text, i + length(p), 1), '[\p{{L}}\p{{N}}]')),
+k AS (SELECT x.* FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.r < x.r AND y.a < x.b AND x.a < y.b))
+SELECT doc_id, a AS "from", b AS "to", p AS text, (length(left(text, a)) - length(replace(left(text, a), chr(10), '')))::INTEGER AS line, length(string_split(left(text, a), chr(10))[-1])::INTEGER AS ch FROM k"""
 
 
 def offset_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +335,7 @@ QUERIES = {
     "fingerprint": (fingerprint, FINGERPRINT_SQL),
     "snippets": (snippets, SNIPPETS_SQL),
     "mark_up": (mark_up, None),
-    "in_note_matches": (in_note_matches, None),
+    "in_note_matches": (in_note_matches, IN_NOTE_SQL),
     "offset_position": (offset_position, OFFSET_SQL),
     "formatters": (formatters, FORMATTERS_SQL),
     "normalize_query": (normalize_query, NORMALIZE_SQL),

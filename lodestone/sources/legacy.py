@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import index_store
 from lodestone.sources.index_store import CANDIDATE, DamagedIndex
 
+OTHER_FILES = ("index.state.json",)
 FILES = ("index.meta.json", "index.vectors.bin", "index.highlights.bin")
 _META = (
     "file string, heading string, text string, lineStart int, lineEnd int, mtime long, contentHash string, highlightVersion int, "
@@ -48,13 +50,14 @@ def read_packed_index(spark: SparkSession, root: str, dimension: int) -> DataFra
     if sizes[FILES[1]] != counts.n * dimension * 4 or sizes[FILES[2]] != counts.c * dimension * 2:
         raise DamagedIndex(f"vectors in {root} don't match {counts.n} passages and {counts.c} phrases")
     spread = rows.select("place", F.posexplode("_c").alias("pos", "c"))
-    # a phrase's place in the packed file: all phrases before it, in order of passages
-    before = rows.select("place", F.size("_c").alias("k")).orderBy("place").collect()
-    starts, total = [], 0
-    for r in before:
-        starts.append((r.place, total))
-        total += r.k
-    spread = spread.join(F.broadcast(spark.createDataFrame(starts, "place long, start long")), "place").withColumn("at", F.col("start") + F.col("pos")) if starts else spread.withColumn("at", F.lit(0))
+    # a phrase's place in the packed file: all phrases before it, in order of passages;
+    # summed within each partition of the scan, and over the partitions
+    rows = rows.withColumn("_p", F.shiftright("place", 33))
+    within = Window.partitionBy("_p").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of one file
+    sums = rows.groupBy("_p").agg(F.sum(F.size("_c").cast("long")).alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(across), F.lit(0)))
+    starts = rows.select("_p", "place", F.coalesce(F.sum(F.size("_c").cast("long")).over(within), F.lit(0)).alias("_own")).join(sums.select("_p", "_before"), "_p")
+    spread = spread.join(starts.select("place", (F.col("_own") + F.col("_before")).alias("start")), "place").withColumn("at", F.col("start") + F.col("pos"))
     with_vector = spread.join(_vectors(spark, f"{root}/{FILES[2]}", dimension, "smallint").withColumnRenamed("place", "at"), "at")
     lists = with_vector.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "vector"))).alias("l"))
     candidates = F.transform("l", lambda x: x["c"].withField("vector", x["vector"]))
@@ -64,3 +67,16 @@ def read_packed_index(spark: SparkSession, root: str, dimension: int) -> DataFra
         "file", number.alias("chunk_no"), "heading", "text", F.col("lineStart").alias("line_start"), F.col("lineEnd").alias("line_end"), "mtime", F.col("contentHash").alias("content_hash"),
         F.col("highlightVersion").alias("highlight_version"), F.col("vector").alias("embedding"), F.coalesce(candidates.cast(f"array<{CANDIDATE}>"), F.array().cast(f"array<{CANDIDATE}>")).alias("candidates"),
     )
+
+
+def migrate(spark: SparkSession, source: str, root: str, dimension: int) -> int:
+    """Import the packed files in ``source`` as the index in ``root``, then delete them.
+    They stay if anything goes wrong before the new index can be read back."""
+    rows = read_packed_index(spark, source, dimension)
+    number = index_store.save(rows, root)
+    index_store.require_valid(index_store.load(spark, root), dimension)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in (*FILES, *OTHER_FILES):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{name}"), False)
+    return number

@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 EXTENSIONS = ("md", "txt", "markdown")
 NOTE_SCHEMA = "file string, mtime long, content string"
 EVENT_SCHEMA = T.StructType(
-    [T.StructField("event", T.StringType()), T.StructField("file", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("mtime", T.LongType()), T.StructField("content", T.StringType())]
+    [
+        T.StructField("event", T.StringType()), T.StructField("file", T.StringType()), T.StructField("ts", T.TimestampType()),
+        T.StructField("mtime", T.LongType()), T.StructField("content", T.StringType()), T.StructField("old_file", T.StringType()),
+    ]
 )
 
 
@@ -56,5 +59,7 @@ def missing_files(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Change events of notes, as files of JSON lines appear in ``path``."""
-    return spark.readStream.schema(EVENT_SCHEMA).json(path).filter(is_note(F.col("file")))
+    """Change events of notes, as files of JSON lines appear in ``path``: ``create``,
+    ``modify``, ``delete``, and ``rename`` with the path before (``old_file``)."""
+    events = spark.readStream.schema(EVENT_SCHEMA).json(path)
+    return events.filter(is_note(F.col("file")) | F.coalesce(is_note(F.col("old_file")), F.lit(False)))

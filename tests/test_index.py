@@ -1,9 +1,11 @@
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import embed
 from lodestone.operators import index as I
 from lodestone.sources import index_store, notes
 from lodestone.streaming import updates
@@ -34,6 +36,95 @@ def test_actions(spark):
     assert found["touched.md"] == "TOUCH" and found["changed.md"] == "UPSERT"
 
 
+def test_unchanged_files_are_not_read(spark):
+    """No Python function gets a row whose time and rules are as before."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(text):
+        read.add(1)
+        return text
+
+    before = _notes(spark, [(f"{n}.md", 1, f"text {n}") for n in range(20)])
+    index = spark.createDataFrame(I.build_passages(before).collect(), index_store.SCHEMA)
+    now = _notes(spark, [(f"{n}.md", 2 if n < 3 else 1, f"text {n}") for n in range(20)]).withColumn("content", content.asNondeterministic()("content"))
+    found = {r.file: r.action for r in I.classify(now, index).collect()}
+    assert sorted(found.values()) == ["SKIP"] * 17 + ["TOUCH"] * 3 and len(found) == 20
+    plan = I.classify(_notes(spark, [("a.md", 1, "x")]), index)._jdf.queryExecution().executedPlan().toString()
+    python = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert python and all("_chunk" in line or "_fingerprints" in line for line in python)
+
+
+class Choosy(embed.HashingEmbedder):
+    def embed(self, texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("no such text")
+        return super().embed(texts)
+
+
+def test_a_failing_file_does_not_end_the_run(spark, tmp_path, caplog):
+    choosy = embed.careful_embedder(model=Choosy)
+    rows = [("a.md", 1, "good"), ("b.md", 1, "poison"), ("c.md", 1, "fine"), ("d.md", 1, "# One\n\n" + "x" * 1500 + "\n\n# Two\n\npoison " + "y" * 1500)]
+    assert {r.file for r in I.build_passages(_notes(spark, rows), embed_text=choosy).collect()} == {"a.md", "c.md"}
+    root = str(tmp_path / "index")
+    events = [("create", f, datetime(2024, 1, 1), m, c) for f, m, c in rows]
+    schema = "event string, file string, ts timestamp, mtime long, content string"
+    with caplog.at_level("ERROR"):
+        assert updates.apply_batch(spark.createDataFrame(events, schema), root, embed_text=choosy)
+    assert caplog.text.count("not indexed") == 2 and "b.md: ValueError: no such text" in caplog.text
+    read = lambda: {r.file: r.text for r in index_store.load(spark, root).select("file", "text").collect()}
+    assert read() == {"a.md": "good", "c.md": "fine"}
+    caplog.clear()
+    changed = [("modify", f, datetime(2024, 1, 2), 2, c) for f, c in (("a.md", "poison"), ("c.md", "finer"), ("b.md", "cured"))]
+    with caplog.at_level("ERROR"):
+        updates.apply_batch(spark.createDataFrame(changed, schema), root, embed_text=choosy)
+    assert read() == {"a.md": "good", "b.md": "cured", "c.md": "finer"} and caplog.text.count("not indexed") == 1
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index_store, "BUCKET_ROWS", 8)
+    notes_ = _notes(spark, [(f"{i}.md", 1, f"text {i}") for i in range(20)])
+    seen, root = [], str(tmp_path / "index")
+    run = updates.IndexRun(notes_, root, seconds=0, changed=lambda *state: (seen.append(state), run.stop() if len(seen) == 2 else None))
+    assert not run.run()
+    first = index_store.manifest(spark, root)
+    done = index_store.load(spark, root).count()
+    assert first.buckets == 10 and 0 < done < 20 and seen[-1][0] == "offline"
+    assert updates.IndexRun(notes_, root, seconds=60).run()
+    last = index_store.manifest(spark, root)
+    assert index_store.load(spark, root).count() == 20
+    assert all(last.versions[b] == v for b, v in first.versions.items())  # what was done is not done again
+    counts = I.status(index_store.load(spark, root), I.classify(notes_, index_store.load(spark, root))).first()
+    assert (counts.files, counts.vault_files, counts.stale_files, counts.processed_files) == (20, 20, 0, 20)
+    assert updates.IndexRun(notes_, root, seconds=60).rebuild()
+    assert min(index_store.manifest(spark, root).versions.values()) > max(last.versions.values())
+
+
+def test_requests_during_a_run_are_one_more_run():
+    ran = []
+
+    def run(force):
+        ran.append(force)
+        if len(ran) == 1:
+            assert not runs.request() and not runs.request(force=True) and not runs.request()
+
+    runs = updates.Coalesced(run)
+    assert runs.request() and ran == [False, True] and runs.request(True) and ran[-1]
+
+
+def test_a_vault_settles():
+    now, counts = [0.0], iter([1, 5, 5, 9, 9, 9, 9, 9, 9, 9, 9, 9, 9])
+    assert updates.wait_settled(lambda: next(counts), sleep=lambda s: now.__setitem__(0, now[0] + s), clock=lambda: now[0]) == 9 and now[0] >= 4
+    busy = iter(range(100))
+    assert updates.wait_settled(lambda: next(busy), sleep=lambda s: None, clock=lambda: 0.0) == 30
+
+
+def test_the_last_vector_of_a_phrase_stands(spark):
+    one = lambda file, no, *items: (file, no, [(p, "body", 0, 0, 0, 1, True, False, False, False, 0.1, [v]) for p, v in items])
+    rows = spark.createDataFrame([one("a", 0, ("Free will", 1), ("x", 2)), one("a", 1, (" free WILL", 3)), one("B", 5, ("free will", 9))], f"file string, chunk_no int, candidates array<{index_store.CANDIDATE}>")
+    assert {r.phrase_key: r.vector for r in embed.phrase_dictionary(rows).collect()} == {"free will": [3], "x": [2]}
+
+
 def test_updates_equal_a_rebuild(spark, tmp_path):
     random.seed(5)
     state, index = {}, spark.createDataFrame([], index_store.SCHEMA)
@@ -101,10 +192,14 @@ def test_stream_of_events_keeps_the_index(spark, tmp_path):
     write("2.json", ("delete", "b.md", None, None), ("modify", "a.md", 3, "second"))
     assert run() == {"a.md": "second"}
     before = len(list((tmp_path / "index").iterdir()))
-    number, versions = index_store.manifest(spark, root)
+    number, _, versions = index_store.manifest(spark, root)
     assert number == 2 and set(versions.values()) <= {1, 2}
     write("3.json", ("modify", "a.md", 3, "second"))
     assert run() == {"a.md": "second"} and len(list((tmp_path / "index").iterdir())) == before
+    (tmp_path / "events" / "4.json").write_text(json.dumps({"event": "rename", "file": "sub/c.md", "old_file": "a.md", "ts": "2024-01-01T00:00:00", "mtime": 4, "content": "second"}))
+    assert run() == {"sub/c.md": "second"}
+    (tmp_path / "events" / "5.json").write_text(json.dumps({"event": "rename", "file": "c.png", "old_file": "sub/c.md", "ts": "2024-01-01T00:00:00", "mtime": 5, "content": None}))
+    assert run() == {}
 
 
 def test_debounce_runs_as_a_stream(spark, tmp_path):
@@ -132,6 +227,13 @@ def test_packed_files_are_imported(spark, tmp_path):
     (tmp_path / "index.vectors.bin").write_bytes(b"torn")
     with pytest.raises(index_store.DamagedIndex):
         legacy.read_packed_index(spark, str(tmp_path), 384)
+    root = str(tmp_path / "new")
+    with pytest.raises(index_store.DamagedIndex):
+        legacy.migrate(spark, str(tmp_path), root, 384)
+    assert (tmp_path / "index.meta.json").exists()
+    (tmp_path / "index.vectors.bin").write_bytes(np.full(3 * 384, 0.25, "<f4").tobytes())
+    legacy.migrate(spark, str(tmp_path), root, 384)
+    assert index_store.load(spark, root).count() == 3 and not list(tmp_path.glob("index.*"))
 
 
 def test_diagnostics():
