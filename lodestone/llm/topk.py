@@ -2,19 +2,21 @@
 
 Vectors become integers, floor(64 * x). Queries are dealt into blocks, candidates
 into stripes; each (block, stripe) is a task that runs through its stripe slice by
-slice. A slice is kept as one sorted list of (value, candidate) for each dimension,
-and a query has a cursor on each list, at the end where its weight gains most:
-
-1. Cursors move on together, each past the entries that lose no more than a common
-   loss against their list's best. What an entry loses is added to its candidate; this
-   is all that is ever learned of a candidate, and only entries that are read are touched.
-2. A candidate that has not been met in a list loses more there than the common loss,
-   and at most the list's whole range: that bounds its score from above and below.
+slice. A slice is kept as one sorted list of (value, candidate) for each dimension.
+For all queries of a block together:
+
+1. Each list is read from both ends: a query needs the end where its weight gains most.
+   Cursors move on together, each past the entries within a common share of its list's
+   range. What has been read is all that is known of a candidate.
+2. A candidate that has not been met in a list loses that share of the list's range
+   there at least, and all of it at most. With what it loses where it was met, that
+   bounds its score for each query from above and below (sums for all queries at once
+   are one matrix product of the weights and of what has been read).
 3. Who is bounded under the k-th best lower bound (or under the k-th score known from
-   slices before) cannot qualify. Reading stops when nearly all cannot; a candidate
+   slices before) cannot qualify. A query stops when nearly all cannot; a candidate
    with a bound equal to the bar still can, so ties are kept.
-4. The scores of those that still can are resolved by reading on, each list until all
-   of them have been met in it.
+4. When all queries have stopped, reading goes on until the lists have those that still
+   can, and their scores are resolved from what has been read.
 
 Cases: vectors that are null or hold a null or non-finite component take no part;
 an empty vector or a shorter one counts as padded with zeros; rows with equal ids
@@ -43,8 +45,10 @@ _PACK_SCHEMA = pa.schema(
 )
 _OUT = "query_uid long, query_id long, vec_id long, score long"
 _OUT_SCHEMA = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-#: Common losses at which bounds are looked at, as shares of the longest list's range.
-LOSSES = (0.25, 0.4, 0.5, 0.6, 0.7, 0.8, 1.0)
+#: Shares of the lists' ranges at which bounds are looked at.
+SHARES = (0.45, 0.55, 0.65, 0.8, 1.0)
+#: Queries whose bounds are looked at together.
+_TOGETHER = 512
 #: Vectors with components beyond 32 bits are packed as they came.
 _RAW = "<f8"
 
@@ -71,99 +75,99 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Lists:
-    """Of a slice: each dimension's values in rising order, and whose they are."""
+    """A slice's sorted lists, cursors from both ends of each, and what they have read.
 
-    def __init__(self, vectors: np.ndarray):
+    ``lost`` has, for each list from its high end and then for each from its low end, how
+    far each candidate that was met is from that end; ``met`` marks these.
+    """
+
+    def __init__(self, vectors: np.ndarray, kind: type = np.float64):
         self.size, self.dim = vectors.shape
         order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T, dtype=np.float64)
-        self.owners = np.ascontiguousarray(order.T, dtype=np.int32)
-
-
-class Cursors:
-    """One query's reading of the lists, and what it has learned of each candidate."""
-
-    def __init__(self, q: np.ndarray, lists: Lists):
-        self.lists, self.dims = lists, np.flatnonzero(q).tolist()
-        self.weight, self.rising = np.abs(q), q < 0
-        ends = np.where(self.rising, lists.values[:, 0], lists.values[:, -1]) if lists.dim else np.zeros(0)
-        self.top, self.best = ends, float((q * ends).sum())
-        self.ranges = self.weight * (lists.values[:, -1] - lists.values[:, 0]) if lists.dim else np.zeros(0)
-        self.at = np.zeros(lists.dim, np.int64)
-        self.lost, self.met, self.settled = np.zeros(lists.size), np.zeros(lists.size, np.int64), np.zeros(lists.size)
+        self.owners = np.ascontiguousarray(order.T, dtype=np.intp)
+        self.whole = vectors.dtype.kind == "i"
+        low, high = (self.values[:, 0], self.values[:, -1]) if self.size else (np.zeros(self.dim),) * 2
+        self.ends = np.concatenate([high, -low])  # the best that a weight of one, and of minus one, can gain
+        self.range = np.concatenate([high - low, high - low])
+        self.at = np.zeros(2 * self.dim, np.intp)
+        self.lost, self.met = np.zeros((2 * self.dim, self.size), kind), np.zeros((2 * self.dim, self.size), kind)
+        #: What a candidate loses at least in each list where it has not been met.
+        self.least = np.zeros(2 * self.dim)
         self.read = 0
 
-    def _entries(self, d: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-        """Owners and losses of list d's entries from the cursor to place ``to``."""
-        n, a = self.lists.size, self.at[d]
-        part = slice(a, to) if self.rising[d] else slice(n - to, n - a)
-        loss = np.abs(self.lists.values[d, part] - self.top[d]) * self.weight[d]
-        return self.lists.owners[d, part], loss
-
-    def advance(self, loss: float, to_end: bool = False) -> None:
-        """Read on past all entries that lose no more than ``loss``."""
-        owners, losses, sizes = [], [], []
-        n = self.lists.size
-        for d in self.dims:
-            if self.at[d] == n:
-                sizes.append(0)
-                continue
-            values, reach = self.lists.values[d], loss / self.weight[d]
-            if to_end:
+    def advance(self, share: float) -> None:
+        """Read on past all entries within a share of the lists' ranges."""
+        n, least = self.size, self.range * share
+        self.least = np.floor(least) if self.whole else least
+        for i in range(2 * self.dim):
+            d, reach = i % self.dim, self.least[i]
+            values = self.values[d]
+            if share >= 1:
                 to = n
-            elif self.rising[d]:
-                to = int(np.searchsorted(values, self.top[d] + reach, "right"))
+            elif i < self.dim:
+                to = n - int(np.searchsorted(values, values[-1] - reach, "left"))
             else:
-                to = n - int(np.searchsorted(values, self.top[d] - reach, "left"))
-            who, what = self._entries(d, max(to, self.at[d]))
-            owners.append(who)
-            losses.append(what)
-            sizes.append(len(who))
-            self.at[d] = max(to, self.at[d])
-        if owners:
-            who = np.concatenate(owners)
-            self.read += len(who)
-            self.lost += np.bincount(who, weights=np.concatenate(losses), minlength=n)
-            self.met += np.bincount(who, minlength=n)
-            self.settled += np.bincount(who, weights=np.repeat(self.ranges[self.dims], sizes), minlength=n)
-
-    def upper(self, loss: float) -> np.ndarray:
-        return self.best - self.lost - loss * (len(self.dims) - self.met)
-
-    def lower(self) -> np.ndarray:
-        return self.best - self.lost - (self.ranges.sum() - self.settled)
-
-    def resolve(self, few: np.ndarray) -> np.ndarray:
-        """The scores of ``few`` candidates, by reading each list until it has them all."""
-        wanted = np.zeros(self.lists.size, bool)
-        wanted[few] = True
-        for d in self.dims:
-            who, what = self._entries(d, self.lists.size)
-            if not self.rising[d]:
-                who, what = who[::-1], what[::-1]
-            found = np.flatnonzero(wanted[who])
-            if len(found):
-                self.read += int(found[-1]) + 1
-                self.lost[who[found]] += what[found]
-        return self.best - self.lost[few]
-
-
-def contenders(q: np.ndarray, lists: Lists, k: int, floor: float = -np.inf, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
-    """Who of a slice may be among the k best, their scores, and how many entries were
-    read. ``floor``: a score that k known candidates reach; ``slack``: what rounding may
-    take from a bound (none where all are integers)."""
-    c = Cursors(q, lists)
-    few = np.arange(lists.size)
-    longest = float(c.ranges.max(initial=0))
-    for share in LOSSES:
-        c.advance(share * longest, share == LOSSES[-1])
-        bar = floor
-        if lists.size > k and not np.isfinite(floor):
-            bar = np.partition(c.lower(), lists.size - k)[lists.size - k]
-        few = np.flatnonzero(c.upper(share * longest) >= bar - slack)
-        if len(few) <= max(2 * k, lists.size // 32):
+                to = int(np.searchsorted(values, values[0] + reach, "right"))
+            if to > self.at[i]:
+                part = slice(n - to, n - self.at[i]) if i < self.dim else slice(self.at[i], to)
+                who = self.owners[d, part]
+                self.lost[i, who] = values[-1] - values[part] if i < self.dim else values[part] - values[0]
+                self.met[i, who] = 1
+                self.read += to - self.at[i]
+                self.at[i] = to
+
+
+class Queries:
+    """The queries of a block over a slice's lists."""
+
+    def __init__(self, q: np.ndarray, lists: Lists):
+        self.lists = lists
+        self.weights = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1).astype(lists.lost.dtype)
+        self.best = (self.weights * lists.ends).sum(axis=1, dtype=np.float64)
+
+    def bound(self, rows: np.ndarray, unmet: np.ndarray) -> np.ndarray:
+        """Scores of all candidates for some queries, if each loses ``unmet`` in a list
+        where it has not been met."""
+        x, w = self.lists, self.weights[rows]
+        return (self.best[rows] - w.astype(np.float64) @ unmet)[:, None] - w @ (x.lost - unmet[:, None].astype(x.lost.dtype) * x.met)
+
+    def upper(self, rows: np.ndarray) -> np.ndarray:
+        return self.bound(rows, self.lists.least)
+
+    def lower(self, rows: np.ndarray) -> np.ndarray:
+        return self.bound(rows, self.lists.range)
+
+
+def contenders(q: np.ndarray, lists: Lists, k: int, floor: np.ndarray | None = None, slack: float = 0.0) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """For each query who of a slice may be among its k best, and their scores; and how
+    many entries were read until the last query stopped. ``floor``: scores that k known
+    candidates reach; ``slack``: what rounding may take from a bound (none where all are
+    integers)."""
+    all_ = Queries(q, lists)
+    floor = np.full(len(q), -np.inf) if floor is None else floor
+    few: list[np.ndarray] = [np.arange(lists.size)] * len(q)
+    active = np.arange(len(q))
+    for share in SHARES:
+        lists.advance(share)
+        going = []
+        for at in range(0, len(active), _TOGETHER):
+            rows = active[at : at + _TOGETHER]
+            bar = floor[rows]
+            if lists.size > k and not np.isfinite(bar).all():
+                bar = np.maximum(bar, np.partition(all_.lower(rows), lists.size - k, axis=1)[:, lists.size - k])
+            can = all_.upper(rows) >= (bar - slack)[:, None]
+            stops = (can.sum(axis=1) <= max(2 * k, lists.size // 16)) | (share == SHARES[-1])
+            for i in np.flatnonzero(stops):
+                few[rows[i]] = np.flatnonzero(can[i])
+            going.append(rows[~stops])
+        active = np.concatenate(going) if going else active
+        if not len(active):
             break
-    return few, c.resolve(few), c.read
+    read = lists.read
+    lists.advance(SHARES[-1])
+    scores = [all_.best[i] - (all_.weights[i].astype(np.float64) @ lists.lost[:, few[i]]) for i in range(len(q))]
+    return few, scores, read
 
 
 def _top_of(t: pa.Table, k: int, slice_rows: int) -> pa.Table:
@@ -183,7 +187,8 @@ def _top_of(t: pa.Table, k: int, slice_rows: int) -> pa.Table:
         return _OUT_SCHEMA.empty_table()
     (qid, quid, q), (cid, cuid, c) = (tuple(np.concatenate(x) for x in zip(*sides[s], strict=True)) for s in (True, False))
     reach = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1) if not large else np.inf
-    exact = reach < 2**52
+    exact = reach < 2**51
+    q = q.astype(np.float64)
     if not exact:  # bounds in shares of the largest components, scores in whole numbers
         unit = 1.0 if large else 64.0
         q, c = q / unit, c / unit
@@ -193,14 +198,13 @@ def _top_of(t: pa.Table, k: int, slice_rows: int) -> pa.Table:
     floor = np.full(len(q), -np.inf)
     for at in range(0, len(c), slice_rows):
         part, part_ids, part_uids = c[at : at + slice_rows], cid[at : at + slice_rows], cuid[at : at + slice_rows]
-        lists = Lists(part if exact else part / c_most)
-        for i in range(len(q)):
-            if exact:
-                found, scores, _ = contenders(q[i].astype(np.float64), lists, k + 1, floor[i])
-                scores = scores.astype(np.int64)
-            else:
-                found, _, _ = contenders(q[i] / q_most, lists, k + 1, slack=(dim + 1) ** 2 * 2.0**-48)
-                scores = np.array([_whole_product(q[i], v) for v in part[found]], np.int64)
+        lists = Lists(part, np.float32 if reach < 2**22 else np.float64) if exact else Lists(part / c_most)
+        if exact:
+            few, sums, _ = contenders(q, lists, k + 1, floor)
+        else:
+            few, sums, _ = contenders(q / q_most, lists, k + 1, slack=(dim + 1) ** 2 * 2.0**-48)
+        for i, found in enumerate(few):
+            scores = np.rint(sums[i]).astype(np.int64) if exact else np.array([_whole_product(q[i], v) for v in part[found]], np.int64)
             other = part_uids[found] != quid[i]
             ids = np.concatenate([best[i][0], part_ids[found[other]]])
             scores = np.concatenate([best[i][1], scores[other]])

@@ -147,21 +147,32 @@ def test_any_finite_component_has_a_score(spark):
 
 def test_reading_stops_when_outsiders_cannot_qualify():
     rng = np.random.default_rng(3)
-    c = np.floor(64 * rng.normal(size=(4000, 12)))
+    c = np.floor(64 * rng.normal(size=(4000, 12))).astype(np.int32)
     c[:30] += 300  # some that stand out
-    q = np.floor(64 * np.abs(rng.normal(size=12)))
-    lists = topk.Lists(c)
-    found, scores, read = topk.contenders(q, lists, 21)
-    wanted = c @ q
-    assert set(np.argsort(-wanted)[:21]) <= set(found) and (scores == wanted[found]).all()
-    assert 0 < read < 0.7 * c.size  # lists are left before their ends
-    _, _, later = topk.contenders(q, lists, 21, floor=np.sort(wanted)[-21])
+    q = np.floor(64 * np.abs(rng.normal(size=(5, 12))))
+    found, scores, read = topk.contenders(q, topk.Lists(c), 21)
+    wanted = c @ q.T
+    for i in range(5):
+        assert set(np.argsort(-wanted[:, i], kind="stable")[:21]) <= set(found[i]) and (scores[i] == wanted[found[i], i]).all()
+        assert len(found[i]) <= 4000 // 16
+    assert 0 < read < 2 * c.size  # from both ends: lists are left before their ends
+    _, _, later = topk.contenders(q, topk.Lists(c), 21, floor=np.sort(wanted, axis=0)[-21])
     assert later <= read
-    cursors = topk.Cursors(q, lists)
-    for loss in (100.0, 2000.0, 9000.0):
-        cursors.advance(loss)
-        assert (cursors.upper(loss) >= wanted).all() and (cursors.lower() <= wanted).all()
-        assert cursors.read == cursors.met.sum() == cursors.at.sum()  # nothing is known but what was read
+
+
+def test_bounds_come_from_what_was_read_alone():
+    rng = np.random.default_rng(5)
+    c = np.floor(20 * rng.normal(size=(700, 8))).astype(np.int32)
+    q = np.floor(20 * rng.normal(size=(6, 8)))
+    lists = topk.Lists(c)
+    queries, wanted = topk.Queries(q, lists), (c @ q.T).T
+    for share in (0.2, 0.5, 0.8):
+        lists.advance(share)
+        assert (queries.upper(np.arange(6)) >= wanted).all() and (queries.lower(np.arange(6)) <= wanted).all()
+        assert lists.read == lists.met.sum() == lists.at.sum() < 2 * c.size
+        assert not lists.lost[lists.met == 0].any()  # nothing is known but what was read
+    lists.advance(1.0)
+    assert (queries.upper(np.arange(6)) == wanted).all() and (queries.lower(np.arange(6)) == wanted).all()
 
 
 def test_candidates_are_not_copied_for_every_few_queries(spark):
