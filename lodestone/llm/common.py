@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -93,6 +95,14 @@ def numbered(docs: DataFrame, column: str) -> DataFrame:
     return materialize(docs.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: allocators keep it, and a worker that
+    goes from group to group would stay as large as all its groups' shapes together."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
