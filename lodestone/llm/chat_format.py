@@ -2,8 +2,9 @@
 
 Each assistant turn becomes an example: all turns before it as context, and the
 turn itself, of which only the reply's text is trainable. Turns that follow the
-last assistant turn end in one more example without a trainable span, so that
-the examples of a conversation hold all of it.
+last assistant turn are no example; so that what is written holds all of a
+conversation, they go into one row more, marked untrainable, whose letters the query
+counts apart (``rest_chars``).
 
 Template of a turn: ``<|role|>`` newline, text, ``<|end|>`` newline. In roles and
 texts ``~``, ``<`` and ``[`` are written ``~0``, ``~1`` and ``~2`` (in roles also
@@ -113,18 +114,20 @@ def digest(examples: DataFrame) -> DataFrame:
                 )
             )
         ).alias("losses"),
-        F.sum(F.length("formatted").cast("long")).alias("formatted_chars"),
-        F.count(F.lit(1)).alias("n_examples"),
+        F.coalesce(F.sum(F.when(F.col("trainable"), F.length("formatted").cast("long"))), F.lit(0)).alias("formatted_chars"),
+        F.coalesce(F.sum(F.when(~F.col("trainable"), F.length("formatted").cast("long"))), F.lit(0)).alias("rest_chars"),
+        F.count_if("trainable").alias("n_examples"),
     )
     turns = read_turns(F.col("whole"))
     loss = F.array_join(F.transform("losses", lambda x: x["text"]), "")
-    return per.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars", "n_examples").select(
+    return per.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted_chars", "rest_chars", "n_examples").select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "rest_chars",
         "n_examples",
     )
 
@@ -159,7 +162,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars,
-  count(*) FILTER (role = 'assistant' OR i = n) AS n_examples
+  coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS formatted_chars,
+  coalesce(sum(upto) FILTER (role <> 'assistant' AND i = n), 0)::BIGINT AS rest_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
 FROM r GROUP BY conv_id
 """

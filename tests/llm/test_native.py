@@ -36,7 +36,7 @@ def test_chats_are_read_back(spark):
         assert r.turns_sha256 == _sha("".join(f"{role}\n{text}\n" for _, role, text in own))
         loss = "".join(text for _, role, text in own if role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), _sha(loss))
-    assert {c: r.n_examples for c, r in found.items()} == {1: 3, 2: 1, 3: 1, None: 1, 4: 3}
+    assert {c: (r.n_examples, r.rest_chars > 0) for c, r in found.items()} == {1: (2, True), 2: (0, True), 3: (1, False), None: (0, True), 4: (2, True)}
     for r in examples.collect():
         assert r.formatted.count("<|end|>\n") == r.example_no and "</s>" not in r.formatted and "[INST]" not in r.formatted
         assert r.trainable or r.loss_length == 0
