@@ -47,6 +47,8 @@ _OUT = "query_uid long, query_id long, vec_id long, score long"
 _OUT_SCHEMA = pa.schema([("query_uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 #: Shares of the lists' ranges at which bounds are looked at.
 SHARES = (0.45, 0.55, 0.65, 0.8, 1.0)
+#: Partitions of the grid's shuffle, at most.
+MOST_TASKS = 100_000
 #: Queries whose bounds are looked at together.
 _TOGETHER = 512
 #: Vectors with components beyond 32 bits are packed as they came.
@@ -259,6 +261,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "ve
     other = F.when(F.col("is_query"), F.sequence(F.lit(0), F.lit(stripes - 1))).otherwise(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = packs.withColumn("other", F.explode(other))
     dealt = dealt.withColumn("task", F.when(F.col("is_query"), F.col("block") * stripes + F.col("other")).otherwise(F.col("other") * stripes + F.col("block")))
+    # by number: the packs are small, and merged into few tasks they would keep few cores busy
+    dealt = dealt.repartition(min(blocks * stripes, MOST_TASKS), "task")
     found = dealt.groupBy("task").applyInArrow(lambda t: _top_of(t.select(_PACK_SCHEMA.names), k, slice_rows), _OUT)
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
