@@ -37,7 +37,7 @@ def suffix_tagger(words: Column) -> Column:
         low = F.lower(w)
         known = F.when(low.isin(*_EXPRESSIONS), F.array(F.lit("Expression")))
         known = known.when(T.is_stop(low), F.array(F.lit("Function")))
-        known = known.when(low.isin(*_VERBS) | T.lemma(low).isin(*_VERBS), F.array(F.lit("Verb")))
+        known = known.when(low.isin(*_VERBS) | T.lemma(low).isin(*_VERBS) | F.concat(T.lemma(low), F.lit("e")).isin(*_VERBS), F.array(F.lit("Verb")))
         known = known.when(low.rlike(r"(?:ous|ful|ive|able|ible|al|ic|less|ish)\z"), F.array(F.lit("Adjective")))
         return known.when(low.endswith("ly"), F.array(F.lit("Adverb"))).otherwise(F.array(F.lit("Noun")))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import embed, highlight, index, phrases, results, search
-from lodestone.queries.base import QUERY, passages, query_sql, query_vector, read
-from lodestone.queries.texts import _LIST, _SENTENCES, _WORD_SQL, STOPS, lemma_sql
+from lodestone.queries.base import FILE_SQL, PASSAGES, QUERY, coverage_sql, passages, query_sql, query_vector, read, tokens_sql
+from lodestone.queries.texts import _LIST, _SENTENCES, _SNIPPETS, _WORD_SQL, STOPS, lemma_sql
 from lodestone.sources import index_store
 from lodestone.sources import notes as sources
 from lodestone.streaming import updates
@@ -122,12 +122,12 @@ def highlight_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIRECT = "list_dot_product(qv, list_transform(embedding, lambda x: greatest(-32767, least(32767, floor(x::DOUBLE * 32767 + 0.5))))::DOUBLE[]) / 32767"
 _LEMMAS = f"list_distinct(list_transform(regexp_extract_all(phrase, '{_WORD_SQL}'), lambda x: {lemma_sql('x')}))"
-HIGHLIGHT_SQL = f"""WITH {_NGRAMS}, {query_sql(ROW)}, qg AS (SELECT *, {_QUALITY} AS quality, start * 4 + words AS pos FROM ng),
+_HIGHLIGHTED = f"""{_NGRAMS}, {query_sql(ROW)}, qg AS (SELECT *, {_QUALITY} AS quality, start * 4 + words AS pos FROM ng),
 v AS (SELECT qg.*, {_DIRECT} AS direct, len(list_filter({_LEMMAS}, lambda x: x IN ('anthat', 'erwhly'))) AS anchors FROM qg JOIN embeddings ON vec_id = (item_id * 31 + pos + sentence_id * 7) % 500, q),
-s AS (SELECT *, direct + 0.025 * anchors AS confidence, CASE WHEN words = 1 THEN 0.3 ELSE 0.2 END AS bar FROM v)
-SELECT item_id, sentence_id, start, words, anchors::INTEGER AS anchors, round(confidence, 6) AS confidence,
-  round(confidence + 0.05 * anchors + CASE WHEN words > 1 THEN 0.02 ELSE 0 END + 0.012 * words + quality, 6) AS rank_score,
-  NOT (pos % 5 = 0 AND anchors = 0 AND direct < bar + 0.06) AND (confidence >= bar OR (anchors > 0 AND direct >= bar - 0.1) OR (words > 1 AND direct >= bar - 0.05)) AS fit FROM s"""
+s AS (SELECT *, direct + 0.025 * anchors AS confidence, CASE WHEN words = 1 THEN 0.3 ELSE 0.2 END AS bar FROM v),
+hl AS (SELECT *, confidence + 0.05 * anchors + CASE WHEN words > 1 THEN 0.02 ELSE 0 END + 0.012 * words + quality AS rank_score,
+  NOT (pos % 5 = 0 AND anchors = 0 AND direct < bar + 0.06) AND (confidence >= bar OR (anchors > 0 AND direct >= bar - 0.1) OR (words > 1 AND direct >= bar - 0.05)) AS fit FROM s)"""
+HIGHLIGHT_SQL = f"""WITH {_HIGHLIGHTED} SELECT item_id, sentence_id, start, words, anchors::INTEGER AS anchors, round(confidence, 6) AS confidence, round(rank_score, 6) AS rank_score, fit FROM hl"""
 
 
 def highlight_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,17 @@ def highlight_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("passage_id", "field", F.posexplode("highlights").alias("i", "h")).select("passage_id", "field", "i", "h.phrase", F.round("h.score", 6).alias("score"))
 
 
+# The best, then the best that doesn't meet it, then the best that meets neither.
+_MEETS = "{0}.sentence_id = {1}.sentence_id AND {0}.start < {1}.start + {1}.words AND {1}.start < {0}.start + {0}.words"
+SELECT_SQL = f"""WITH {_HIGHLIGHTED}, it AS (SELECT item_id AS p, (['filename', 'heading', 'body'])[sentence_id % 3 + 1] AS field, sentence_id, start, words, phrase, pos, confidence, rank_score FROM hl WHERE fit),
+k AS (SELECT *, row_number() OVER (PARTITION BY p, field ORDER BY rank_score DESC, pos, sentence_id, start) AS r FROM it),
+c1 AS (SELECT * FROM k WHERE r = 1),
+c2 AS (SELECT k.* FROM k JOIN c1 USING (p, field) WHERE k.r > 1 AND NOT ({_MEETS.format('k', 'c1')}) QUALIFY row_number() OVER (PARTITION BY p, field ORDER BY k.r) = 1),
+c3 AS (SELECT k.* FROM k JOIN c1 USING (p, field) JOIN c2 USING (p, field) WHERE field = 'body' AND k.r > c2.r AND NOT ({_MEETS.format('k', 'c1')}) AND NOT ({_MEETS.format('k', 'c2')})
+  QUALIFY row_number() OVER (PARTITION BY p, field ORDER BY k.r) = 1)
+SELECT p AS passage_id, field, i::INTEGER AS i, phrase, round(confidence, 6) AS score FROM (SELECT *, 0 AS i FROM c1 UNION ALL SELECT *, 1 FROM c2 UNION ALL SELECT *, 2 FROM c3)"""
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the texts of documents, and phrases as highlights."""
     hits = search.search(passages(spark, sf_dir), query_vector(spark, sf_dir, ROW), QUERY, top_k=60, min_score=0.0)
@@ -148,21 +159,41 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+# The sixty hits with their snippets, in rank order.
+_HITS_SQL = f"""{_SNIPPETS}, {PASSAGES}, {query_sql(ROW)}, ws AS (SELECT list_distinct({tokens_sql(f"'{QUERY}'")}) AS w),
+sc AS (SELECT passage_id, file, list_dot_product(qv, v) AS sem, 0.05 * {coverage_sql('w', tokens_sql(FILE_SQL.format('file')))} AS fb FROM p, q, ws),
+th AS (SELECT *, sem + fb AS rk FROM sc WHERE sem >= 0), fl AS (SELECT sem - 1 AS floor FROM th ORDER BY rk DESC, passage_id LIMIT 1),
+hs AS (SELECT passage_id, file, rk, least(1, rk) AS score FROM th, fl WHERE sem >= floor ORDER BY rk DESC, passage_id LIMIT 60),
+ht AS (SELECT hs.*, snippet, lower(regexp_extract(replace(text, '*', ''), '^([\\p{{L}}]+) ([\\p{{L}}]+)', 1)) AS word,
+  row_number() OVER (ORDER BY score DESC, passage_id) AS r FROM hs JOIN documents ON doc_id = passage_id JOIN sn USING (doc_id))"""
+
+
 def group_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = results.group_by_note(_hits(spark, sf_dir), "the thing that was from anth", 20)
     first = F.element_at("snippets", 1)
     return cards.select("file", F.round("score", 6).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), F.size("snippets").alias("snippets"), F.md5(first["text"]).alias("first"), F.array_join("filename_highlights", ",").alias("names"))
 
 
+GROUP_SQL = f"""WITH {_HITS_SQL}, d AS (SELECT *, snippet <> '' AND row_number() OVER (PARTITION BY file, snippet ORDER BY r) = 1 AS fresh FROM ht),
+cd AS (SELECT file, min(r) AS r, arg_min(score, r) AS score, count(*) FILTER (fresh) AS n, arg_min(snippet, r) FILTER (fresh) AS first FROM d GROUP BY file)
+SELECT file, round(score, 6) AS score, round(score, 6) AS semantic_score, least(n, 3)::INTEGER AS snippets, md5(first) AS first, 'Note' AS names FROM cd WHERE n > 0 ORDER BY r LIMIT 20"""
+
+
 def passage_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results.by_passage(_hits(spark, sf_dir), "the thing that was from anth", 25)
     return rows.select("passage_id", "file", F.round("score", 6).alias("score"), F.md5("snippet").alias("hash"), F.size("semantic_highlights").alias("n"))
 
 
+PASSAGE_SQL = f"WITH {_HITS_SQL} SELECT passage_id, file, round(score, 6) AS score, md5(snippet) AS hash, 2 AS n FROM ht WHERE r <= 25 AND snippet <> ''"
+
+
 def phrase_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.phrase_pool(_hits(spark, sf_dir))
 
 
+POOL_SQL = f"WITH {_HITS_SQL} SELECT 'Note' AS phrase UNION SELECT unnest(['onth', 'the and']) UNION SELECT word FROM ht WHERE word NOT IN ('', 'note')"
+
+
 def _notes(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
     """Two states of a vault: of every ten notes one is deleted, one is new, one changes
     and one is only touched."""
@@ -177,7 +208,7 @@ def _index(notes: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{index_store.CANDIDATE}>")
     return notes.select(
         "file", F.lit(0).alias("chunk_no"), F.lit("").alias("heading"), F.col("content").alias("text"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), "mtime",
-        F.when(F.length("content") % 2 == 0, T.fingerprint(F.col("content"))).otherwise(T.fingerprint(F.col("content"))).alias("content_hash"), F.lit(index_store.HIGHLIGHT_VERSION).alias("highlight_version"),
+        T.fingerprint(F.col("content")).alias("content_hash"), F.lit(index_store.HIGHLIGHT_VERSION).alias("highlight_version"),
         F.array(F.lit(1.0).cast("float")).alias("embedding"), none.alias("candidates"),
     )
 
@@ -190,13 +221,18 @@ CLASSIFY_SQL = "SELECT 'n/' || doc_id || '.md' AS file, CASE doc_id % 10 WHEN 0
 
 
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the index after an update, and their times: one row per file."""
+    """The index after an update: each file's time, fingerprint, passages and text, and
+    whether its vectors are new ones (of 64 components) or the old one (of one)."""
     before, notes = _index(_notes(spark, sf_dir, False)), _notes(spark, sf_dir, True)
     after = index.apply_changes(before, notes, index.classify(notes, before))
-    return after.groupBy("file").agg(F.max("mtime").alias("mtime"))
+    first = F.min_by(F.substring("text", 1, 20), "chunk_no")
+    return after.groupBy("file").agg(
+        F.max("mtime").alias("mtime"), F.max(F.substring_index("content_hash", ":", 1)).cast("long").alias("units"), F.md5(first).alias("first"), F.max(F.size("embedding")).alias("dimension")
+    )
 
 
-APPLY_SQL = "SELECT 'n/' || doc_id || '.md' AS file, CASE WHEN doc_id % 10 IN (2, 3) THEN 2 ELSE 1 END::BIGINT AS mtime FROM documents WHERE doc_id % 10 <> 0 AND trim(text) <> ''"
+APPLY_SQL = """SELECT 'n/' || doc_id || '.md' AS file, CASE WHEN doc_id % 10 IN (2, 3) THEN 2 ELSE 1 END::BIGINT AS mtime, (length(text) + CASE WHEN doc_id % 10 = 2 THEN 5 ELSE 0 END)::BIGINT AS units,
+  md5(left(text || CASE WHEN doc_id % 10 = 2 THEN ' more' ELSE '' END, 20)) AS first, CASE WHEN doc_id % 10 IN (1, 2) THEN 64 ELSE 1 END AS dimension FROM documents WHERE doc_id % 10 <> 0 AND trim(text) <> ''"""
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,10 +320,10 @@ QUERIES = {
     "phrase_candidates": (phrase_candidates, None),
     "phrase_vectors": (phrase_vectors, None),
     "highlight_scores": (highlight_scores, HIGHLIGHT_SQL),
-    "highlight_select": (highlight_select, None),
-    "group_results": (group_results, None),
-    "passage_results": (passage_results, None),
-    "phrase_pool": (phrase_pool, None),
+    "highlight_select": (highlight_select, SELECT_SQL),
+    "group_results": (group_results, GROUP_SQL),
+    "passage_results": (passage_results, PASSAGE_SQL),
+    "phrase_pool": (phrase_pool, POOL_SQL),
     "classify_changes": (classify_changes, CLASSIFY_SQL),
     "apply_changes": (apply_changes, APPLY_SQL),
     "index_stats": (index_stats, STATS_SQL),

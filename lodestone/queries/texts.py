@@ -52,6 +52,25 @@ def chunk_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.passages(notes).select("file", "chunk_no", "heading", F.md5("text").alias("hash"), "line_start", "line_end")
 
 
+# Long sections' paragraphs are dealt in order, a row a step, as the room that is left for
+# one depends on all before it.
+CHUNK_SQL = f"""WITH RECURSIVE {MARKDOWN}, c AS (SELECT doc_id, trim({_STRIPPED}, {_BLANK}) AS t FROM m),
+l AS (SELECT doc_id, unnest(string_split(t, {NL})) AS line, unnest(range(len(string_split(t, {NL})))) AS i FROM c WHERE length(t) > 1600),
+s AS (SELECT *, sum((line = '# Part')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l),
+g AS (SELECT doc_id, part, trim(coalesce(string_agg(line, {NL} ORDER BY i) FILTER (line <> '# Part'), ''), {_BLANK}) AS text, min(i) AS lo, max(i) AS hi FROM s GROUP BY ALL),
+b AS (SELECT doc_id, part, lo, hi, unnest(string_split_regex(text, '\n\n+')) AS p, unnest(range(len(string_split_regex(text, '\n\n+')))) AS i FROM g WHERE length(text) > 2400),
+r AS (SELECT doc_id, part, i, 0 AS k, length(p) + 2 AS size FROM b WHERE i = 0
+  UNION ALL SELECT b.doc_id, b.part, b.i, CASE WHEN r.size + length(b.p) > 2400 THEN r.k + 1 ELSE r.k END, CASE WHEN r.size + length(b.p) > 2400 THEN 0 ELSE r.size END + length(b.p) + 2
+  FROM r JOIN b ON b.doc_id = r.doc_id AND b.part = r.part AND b.i = r.i + 1),
+k AS (SELECT b.doc_id, b.part, r.k, any_value(lo) AS lo, any_value(hi) AS hi, trim(string_agg(p, {NL} || {NL} ORDER BY b.i), {_BLANK}) AS text, sum(length(p) - length(replace(p, {NL}, ''))) + 2 * (count(*) - 1) AS n
+  FROM b JOIN r ON r.doc_id = b.doc_id AND r.part = b.part AND r.i = b.i GROUP BY b.doc_id, b.part, r.k),
+z AS (SELECT *, lo + coalesce(sum(n + 1) OVER (PARTITION BY doc_id, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, k = max(k) OVER (PARTITION BY doc_id, part) AS last FROM k),
+u AS (SELECT doc_id, 0 AS part, 0 AS k, '' AS heading, t AS text, 0 AS a, length(t) - length(replace(t, {NL}, '')) AS b FROM c WHERE length(t) BETWEEN 1 AND 1600
+  UNION ALL SELECT doc_id, part, 0, CASE WHEN part > 0 THEN 'Part' ELSE '' END, text, lo, hi FROM g WHERE length(text) BETWEEN 1 AND 2400
+  UNION ALL SELECT doc_id, part, k, CASE WHEN part > 0 THEN 'Part' ELSE '' END, text, a, CASE WHEN last THEN hi ELSE a + n END FROM z)
+SELECT doc_id::VARCHAR AS file, (row_number() OVER (PARTITION BY doc_id ORDER BY part, k) - 1)::INTEGER AS chunk_no, heading, md5(text) AS hash, a::INTEGER AS line_start, b::INTEGER AS line_end FROM u"""
+
+
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.when(F.col("doc_id") % 2 == 0, "A > B").otherwise("")
     made = T.embedding_text(F.concat(F.lit("Notes/"), F.col("doc_id").cast("string"), F.lit(".md")), heading, F.col("text"))
@@ -223,15 +242,16 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", made.alias("snippet"))
 
 
-SNIPPETS_SQL = f"""WITH t AS (SELECT doc_id, {_chain("replace(text, '*', '')", _READER)} AS c FROM documents),
+_SNIPPETS = f"""t AS (SELECT doc_id, {_chain("replace(text, '*', '')", _READER)} AS c FROM documents),
 f AS (SELECT doc_id, c, list_filter(list_transform(regexp_extract_all(c, '[^.!?\\n]+[.!?]?'), lambda s: trim(s, {_BLANK})), lambda s: s <> '') AS s FROM t),
 a AS (SELECT doc_id, CASE WHEN c = '' THEN [] WHEN len(s) > 0 THEN s ELSE [c] END AS s FROM f),
 x AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM a WHERE len(s) > 0),
 y AS (SELECT doc_id, s, i, len(list_filter(['thing', 'anth'], lambda t: contains(lower(s[i]), t))) + 3 * len(list_filter(['onth', 'the and'], lambda p: contains(lower(s[i]), p) OR contains(p, lower(s[i])))) AS score FROM x),
 b AS (SELECT doc_id, any_value(s) AS s, arg_max(i, (score, -i)) AS i FROM y GROUP BY doc_id),
 e AS (SELECT doc_id, s, i, CASE WHEN length(s[i]) < 132 AND i < len(s) THEN s[i] || ' ' || s[i + 1] ELSE s[i] END AS e FROM b),
-g AS (SELECT doc_id, CASE WHEN length(e) < 132 AND i > 1 THEN s[i - 1] || ' ' || e ELSE e END AS e FROM e)
-SELECT a.doc_id, coalesce(CASE WHEN length(e) > 240 THEN regexp_replace(left(e, 240), '\\s+\\S*$', '') || '…' ELSE e END, '') AS snippet FROM a LEFT JOIN g USING (doc_id)"""
+g AS (SELECT doc_id, CASE WHEN length(e) < 132 AND i > 1 THEN s[i - 1] || ' ' || e ELSE e END AS e FROM e),
+sn AS (SELECT a.doc_id, coalesce(CASE WHEN length(e) > 240 THEN regexp_replace(left(e, 240), '\\s+\\S*$', '') || '…' ELSE e END, '') AS snippet FROM a LEFT JOIN g USING (doc_id))"""
+SNIPPETS_SQL = f"WITH {_SNIPPETS} SELECT doc_id, snippet FROM sn"
 
 
 def mark_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +259,15 @@ def mark_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(T.mark_phrases(F.col("text"), phrases)).alias("hash"))
 
 
+# Words and what parts them, one after the other; a marked pair is two words.
+MARK_SQL = """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS t FROM documents),
+k AS (SELECT doc_id, t, list_transform(t, lambda x: lower(x)) AS l FROM w)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE
+  WHEN l[i] = 'and' AND t[i + 1] = ' ' AND l[i + 2] = 'the' THEN '<mark>' || t[i]
+  WHEN i > 2 AND l[i] = 'the' AND t[i - 1] = ' ' AND l[i - 2] = 'and' THEN t[i] || '</mark>'
+  WHEN l[i] IN ('the', 'that') THEN '<mark>' || t[i] || '</mark>' ELSE t[i] END), '')) AS hash FROM k"""
+
+
 def in_note_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = media.in_note_matches(rows, F.lit("and the"), T.query_terms(F.lit("and the thing")), F.array(F.lit("of the"), F.lit("The")))
@@ -321,7 +350,7 @@ RESOLVE_SQL = "SELECT page_id AS passage_id, CASE WHEN page_id % 10 < 5 THEN 'im
 QUERIES = {
     "strip_frontmatter": (strip_frontmatter, STRIP_SQL),
     "parse_sections": (parse_sections, SECTIONS_SQL),
-    "chunk_notes": (chunk_notes, None),
+    "chunk_notes": (chunk_notes, CHUNK_SQL),
     "embedding_text": (embedding_text, EMBEDDING_TEXT_SQL),
     "clean_text_index": (clean_text_index, CLEAN_INDEX_SQL),
     "clean_text_result": (clean_text_result, CLEAN_RESULT_SQL),
@@ -334,7 +363,7 @@ QUERIES = {
     "basename_dirname": (basename_dirname, BASENAME_SQL),
     "fingerprint": (fingerprint, FINGERPRINT_SQL),
     "snippets": (snippets, SNIPPETS_SQL),
-    "mark_up": (mark_up, None),
+    "mark_up": (mark_up, MARK_SQL),
     "in_note_matches": (in_note_matches, IN_NOTE_SQL),
     "offset_position": (offset_position, OFFSET_SQL),
     "formatters": (formatters, FORMATTERS_SQL),

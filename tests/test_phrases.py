@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import embed, highlight, phrases
 
+# A passage, and phrases that it must and must not give.
 PASSAGE = (
     0,
     "Topics/Agency and Parenting.md",
@@ -14,7 +15,7 @@ PASSAGE = (
 def test_candidates_of_a_passage(spark):
     rows = spark.createDataFrame([PASSAGE], "passage_id long, file string, heading string, text string")
     found = {r.phrase.lower() for r in phrases.candidates(rows).collect()}
-    assert {"divine sovereignty", "agency", "determinism", "desire"} <= found
+    assert {"divine sovereignty", "agency", "determinism", "desire", "teach the child", "raising children"} <= found
     assert not {"idea", "thought", "the", "is"} & found
 
 
