@@ -278,12 +278,16 @@ def in_note_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Matches are found longest phrase first, and none overlaps an earlier one. A phrase's own
 # are its occurrences from left to right; as each begins and ends with a whole word and no
 # phrase here can overlap itself, the greedy choice is: keep what meets no longer phrase.
-IN_NOTE_SQL = f"""WITH c AS (SELECT doc_id, text, string_split(lower(text), '') AS l FROM documents WHERE length(lower(text)) = length(text)),
-ph AS (SELECT * FROM (VALUES ('and the', 1), ('of the', 3), ('thing', 4), ('the', 5)) t(p, r)),
-h AS (SELECT doc_id, text, p, r, unnest(list_filter(range(1, length(text) - length(p) + 2), lambda i: substr(lower(text), i, length(p)) = p)) AS i FROM c, ph WHERE contains(lower(text), p)),
-w AS (SELECT doc_id, text, p, r, i - 1 AS a, i - 1 + length(p) AS b FROM h WHERE NOT regexp_matches(substr(text, i - 1, CASE WHEN i > 1 THEN 1 ELSE 0 END), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(text, i + length(p), 1), '[\p{{L}}\p{{N}}]')),
+# Texts are split by each phrase: places, lines and line starts are sums over the pieces.
+IN_NOTE_SQL = f"""WITH ph AS (SELECT * FROM (VALUES ('and the', 1), ('of the', 3), ('thing', 4), ('the', 5)) t(p, r)),
+c AS (SELECT doc_id, p, r, string_split(lower(text), p) AS s FROM documents, ph WHERE contains(lower(text), p)),
+x AS (SELECT doc_id, p, r, unnest(s) AS x, unnest(range(len(s))) AS j, len(s) AS n FROM c),
+y AS (SELECT *, sum(length(x) + length(p)) OVER o - length(p) AS a, sum(length(x) - length(replace(x, {NL}, ''))) OVER o AS line, lead(x) OVER o AS next FROM x WINDOW o AS (PARTITION BY doc_id, p ORDER BY j)),
+z AS (SELECT *, max(CASE WHEN contains(x, {NL}) THEN a - length(string_split(x, {NL})[-1]) END) OVER (PARTITION BY doc_id, p ORDER BY j) AS begin FROM y),
+w AS (SELECT doc_id, p, r, a, a + length(p) AS b, line, a - coalesce(begin, 0) AS ch FROM z WHERE j < n - 1
+  AND (CASE WHEN x <> '' THEN NOT regexp_matches(right(x, 1), '[\p{{L}}\p{{N}}]') ELSE j = 0 END) AND (CASE WHEN next <> '' THEN NOT regexp_matches(left(next, 1), '[\p{{L}}\p{{N}}]') ELSE j = n - 2 END)),
 k AS (SELECT x.* FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.r < x.r AND y.a < x.b AND x.a < y.b))
-SELECT doc_id, a AS "from", b AS "to", p AS text, (length(left(text, a)) - length(replace(left(text, a), chr(10), '')))::INTEGER AS line, length(string_split(left(text, a), chr(10))[-1])::INTEGER AS ch FROM k"""
+SELECT doc_id, a::BIGINT AS "from", b::BIGINT AS "to", p AS text, line::INTEGER AS line, ch::INTEGER AS ch FROM k"""
 
 
 def offset_position(spark: SparkSession, sf_dir: str) -> DataFrame:

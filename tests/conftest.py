@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -7,6 +9,7 @@ SESSION = (
     .config("spark.sql.shuffle.partitions", "4")
     .config("spark.driver.memory", "4g")
     .config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
     .config("spark.ui.showConsoleProgress", "false")
     .config("spark.sql.session.timeZone", "UTC")
     .getOrCreate()
