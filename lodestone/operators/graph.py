@@ -61,13 +61,20 @@ def node_label(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.md\z", "")
 
 
+#: Nodes that may be laid out.
+MOST_NODES = 200_000
+
+
 def layout(nodes: DataFrame, order: str = "id", pca: str | None = None) -> DataFrame:
     """id, x, y: a given position mapped from [-1, 1] to [0, 1], else phyllotaxis.
 
-    Numbering needs one order over all nodes; a drawn graph has a few thousand.
+    Numbering needs one order over all nodes, so there may be ``MOST_NODES`` of them; more
+    are an error. A drawn graph has a few thousand.
     """
     i = (F.row_number().over(Window.orderBy(order)) - 1).alias("i")
-    rows = nodes.withColumn("i", i).crossJoin(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    few = nodes.limit(MOST_NODES + 1)
+    count = few.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") <= MOST_NODES, F.col("n")).otherwise(F.raise_error(F.lit("too many nodes to lay out"))).alias("n"))
+    rows = few.withColumn("i", i).crossJoin(F.broadcast(count))  # one row
     angle, radius = F.col("i") * GOLDEN_ANGLE, F.sqrt(F.col("i") / F.col("n")) * 0.46
     x, y = 0.5 + F.cos(angle) * radius, 0.5 + F.sin(angle) * radius
     if pca:

@@ -9,6 +9,8 @@ from lodestone.functions import text as T
 
 #: Fixed value: snippets on a card.
 MOST_SNIPPETS = 3
+#: Fixed value: raw hits that a search may ask for.
+MOST_HITS = 1000
 
 
 def cleaned_phrases(highlights: Column) -> Column:
@@ -31,8 +33,9 @@ def group_by_note(hits: DataFrame, query: str, most_files: int) -> DataFrame:
     hit's ``score``, boosts included. It has the first three distinct snippets in rank
     order, and no card is made of a note without one.
     """
-    rank = F.row_number().over(Window.orderBy(F.desc("ranking_score"), "passage_id"))  # hits are at most a thousand
-    rows = _snippets(hits, query).withColumn("rank", rank)
+    best = hits.orderBy(F.desc("ranking_score"), "passage_id").limit(MOST_HITS)
+    rank = F.row_number().over(Window.orderBy(F.desc("ranking_score"), "passage_id"))  # of at most MOST_HITS rows
+    rows = _snippets(best, query).withColumn("rank", rank)
     own = Window.partitionBy("file", "_snippet").orderBy("rank")
     firsts = rows.withColumn("_new", (F.row_number().over(own) == 1) & (F.col("_snippet") != ""))
     snippet = F.when(

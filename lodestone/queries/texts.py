@@ -170,20 +170,20 @@ SELECT word, n, {lemma_sql('word')} AS lemma, ({lemma_sql('word')}) IN ({_LIST(S
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
+    rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.explode(T.query_terms(F.col("text"))).alias("term"))
 
 
-QUERY_TERMS_SQL = f"""SELECT DISTINCT conv_id, turn, term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{_TERM_SQL}')) AS term FROM conversations WHERE role = 'user')
+QUERY_TERMS_SQL = f"""SELECT DISTINCT conv_id, turn, term FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '{_TERM_SQL}')) AS term FROM conversations)
 WHERE length(term) > 2 AND term NOT IN ({_LIST(TERM_STOPS)})"""
 
 
 def query_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
+    rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.explode(T.query_anchors(F.col("text"))).alias("anchor"))
 
 
-QUERY_ANCHORS_SQL = f"""SELECT DISTINCT conv_id, turn, {lemma_sql('word')} AS anchor FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{_WORD_SQL}')) AS word FROM conversations WHERE role = 'user')
+QUERY_ANCHORS_SQL = f"""SELECT DISTINCT conv_id, turn, {lemma_sql('word')} AS anchor FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '{_WORD_SQL}')) AS word FROM conversations)
 WHERE length({lemma_sql('word')}) > 2 AND ({lemma_sql('word')}) NOT IN ({_LIST(STOPS)})"""
 
 

@@ -178,17 +178,18 @@ DEGREE_SQL = f"""WITH {EDGES}, {LINKS} SELECT id, count(*) AS degree FROM (SELEC
 
 
 def graph_score_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of half the notes over all nodes, with their drawing style."""
+    """Scores of all notes over all nodes, and one that no score knows, with their style."""
     q = F.array(*map(F.lit, query_vector(spark, sf_dir, ROW)))
     rows = passages(spark, sf_dir)
-    scores = search.scores_per_note(rows.filter("label < 5"), q)
+    scores = search.scores_per_note(rows, q)
     nodes = rows.groupBy(F.col("file").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    nodes = nodes.unionByName(spark.range(1).select(F.lit("Apart/Lone.md").alias("id"), F.lit(2).cast("long").alias("degree")))
     styled = graph.node_style(graph.overlay(nodes, scores), True)
     return styled.select("id", _r("score"), _r("radius"), _r("alpha"), "accent", "labelled", "label")
 
 
-OVERLAY_SQL = f"""WITH {PASSAGES}, {query_sql(ROW)}, s AS (SELECT file, max(list_dot_product(qv, v)) AS s FROM p, q WHERE label < 5 GROUP BY file),
-n AS (SELECT file AS id, count(*) AS degree FROM p GROUP BY file)
+OVERLAY_SQL = f"""WITH {PASSAGES}, {query_sql(ROW)}, s AS (SELECT file, max(list_dot_product(qv, v)) AS s FROM p, q GROUP BY file),
+n AS (SELECT file AS id, count(*) AS degree FROM p GROUP BY file UNION ALL SELECT 'Apart/Lone.md', 2)
 SELECT id, round(coalesce(s, 0), 6) AS score, round(4 + least(7, degree / 3), 6) AS radius, round(greatest(0.08, coalesce(s, 0)), 6) AS alpha,
   coalesce(s, 0) > 0.55 AS accent, coalesce(s, 0) > 0.2 AS labelled, regexp_replace(string_split(id, '/')[-1], '(?i)\\.md$', '') AS label FROM n LEFT JOIN s ON file = id"""
 
