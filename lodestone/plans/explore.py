@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import embed, graph, highlight, media, results, search
-from lodestone.plans.session import more_to_show, page_limits, query_cache, result_cache, searchable
+from lodestone.plans.session import BoundedCache, more_to_show, page_limits, query_cache, result_cache, searchable
 from lodestone.plans.settings import Settings
 
 #: Hits and phrases of a search in one note.
 NOTE_HITS, NOTE_PHRASES = 250, 5
+#: Notes whose texts are kept.
+NOTE_TEXTS = 8
 
 
 class NotReady(Exception):
@@ -22,15 +24,16 @@ class Explorer:
     """Searches a snapshot of an index (the store's schema). The token sets of paths are
     kept with it, as a cached side table. :meth:`refresh` takes a newer snapshot."""
 
-    def __init__(self, index: DataFrame, model: embed.Embedder, settings: Settings | None = None):
-        self.model, self.settings = model, settings or Settings()
+    def __init__(self, index: DataFrame, model: embed.Embedder, settings: Settings | None = None, notes: DataFrame | None = None):
+        self.model, self.settings, self.notes = model, settings or Settings(), notes
         self.vectors, self.found, self.lexical = query_cache(), result_cache(), None
+        self.texts = BoundedCache(NOTE_TEXTS, refresh=True)
         self.refresh(index)
 
     def refresh(self, index: DataFrame) -> None:
         """Search ``index`` from now on: what was found before is forgotten."""
-        self.found.clear()
-        self.vectors.clear()
+        for kept in (self.found, self.vectors, self.texts):
+            kept.clear()
         if self.lexical is not None:
             self.lexical.unpersist()
         self.lexical = search.with_lexical(index.select("file").distinct()).cache()
@@ -95,10 +98,21 @@ class Explorer:
         found = self.hits(query, raw, self.settings.tuning.min_score, self.settings.tuning.score_window, file=file)
         return results.by_passage(found, query, asked)
 
-    def find_in_note(self, query: str, file: str, text: str) -> list:
-        """(from, to, text) of a query, its terms and what highlights it in a note's text."""
+    def note_text(self, file: str) -> str:
+        """What a note of ``notes`` (file, content) says; kept for the next time."""
+
+        def read() -> str:
+            found = self.notes.filter(F.col("file") == file).select("content").first() if self.notes is not None else None
+            return found.content or "" if found else ""
+
+        return self.texts.get(file, read)
+
+    def find_in_note(self, query: str, file: str, text: str | None = None) -> list:
+        """(from, to, text, line, ch) of a query, its terms and what highlights it in a note's
+        text: the one given, as an editor has it, or else the note's own."""
         if not searchable(query):
             return []
+        text = self.note_text(file) if text is None else text
         found = self.hits(query, NOTE_HITS, 0.0, 1.0, file=file, max_phrases=NOTE_PHRASES)
         pool = [r.phrase for r in results.phrase_pool(found).collect()]
         spark = self.passages.sparkSession

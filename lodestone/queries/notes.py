@@ -251,12 +251,16 @@ FROM (SELECT (['Agency', 'Parenting', 'Freedom'])[label % 3 + 1] || '/Note ' ||
 
 
 def index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.array().cast(f"array<{index_store.CANDIDATE}>")
-    rows = read(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")).alias("embedding"), none.alias("candidates"))
+    """Some passages have a short vector, some a candidate with one, some no candidates."""
+    vector = V.quantize(F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding")))
+    one = F.struct(F.lit("a phrase"), F.lit("body"), F.lit(0), F.lit(0), F.lit(1), F.lit(2), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(0.1), vector).cast(index_store.CANDIDATE)
+    candidates = F.when(F.col("vec_id") % 3 > 0, F.array(one)).when(F.col("vec_id") % 3 == 0, F.array().cast(f"array<{index_store.CANDIDATE}>"))
+    short = F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
+    rows = read(spark, sf_dir, "embeddings").select(short.alias("embedding"), candidates.alias("candidates"))
     return index_store.validate(rows, 64)
 
 
-VALIDATE_SQL = "SELECT count(*) AS passages, count(*) FILTER (vec_id % 9 = 0) AS bad_vectors, 0::BIGINT AS bad_candidates FROM embeddings"
+VALIDATE_SQL = "SELECT count(*) AS passages, count(*) FILTER (vec_id % 9 = 0) AS bad_vectors, count(*) FILTER (vec_id % 3 > 0 AND vec_id % 7 = 0) AS bad_candidates FROM embeddings"
 
 
 def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:

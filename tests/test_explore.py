@@ -33,6 +33,18 @@ def test_one_note(explorer):
     assert ("teach the child" in {m.text for m in matches}) and all(a.to <= b["from"] for a, b in zip(matches, matches[1:], strict=False))
 
 
+def test_a_note_s_own_text_is_read_once(spark):
+    notes = spark.createDataFrame(NOTES, "file string, mtime long, content string")
+    own = explore.Explorer(index.build_passages(notes), embed.HashingEmbedder(), settings.load_settings({"min_score": 0.05}), notes=notes)
+    assert own.is_alive()
+    matches = own.find_in_note("the water", "Other/Cooking.md")
+    assert [(m["from"], m.text, m.line, m.ch) for m in matches][:1] == [(5, "the water", 0, 5)]
+    assert own.note_text("none.md") == "" and list(own.texts.entries) == ["Other/Cooking.md", "none.md"]
+    own.refresh(index.build_passages(notes.filter("file LIKE 'Topics%'")))
+    assert not own.texts.entries and not own.found.entries
+    assert {r.file for r in own.cards("boil the water and add salt")[0].collect()} <= {"Topics/Agency.md", "Topics/Parenting.md"}
+
+
 def test_the_graph(explorer, spark):
     links = spark.createDataFrame([("Topics/Agency.md", "Topics/Parenting.md", 1)], "source string, target string, count int")
     nodes, edges = explorer.graph(links, "salt in the soup")
@@ -45,3 +57,4 @@ def test_an_empty_index_is_not_ready(spark):
     empty = explore.Explorer(spark.createDataFrame([], index_store.SCHEMA), embed.HashingEmbedder())
     with pytest.raises(explore.NotReady):
         empty.cards("any query")
+    assert not empty.is_alive()
