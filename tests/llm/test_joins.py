@@ -235,7 +235,7 @@ def test_fewer_rows_than_shards(spark):
 def test_packing_is_a_round_trip(spark, window, open_windows):
     random.seed(8)
     texts = [" ".join(random.choices(["the", "Straße", "x1", "\n\n", "日本", "it's", "  "], k=random.choice([0, 1, 5, 40, 700]))) for _ in range(80)]
-    docs = [*enumerate(texts), (500, None), (501, ""), (502, "<|endoftext|> a"), (503, "a\x1cb"), (503, "a\x1cb"), (None, "no id")]
+    docs = [*enumerate(texts), (500, None), (501, ""), (502, "<|endoftext|> a"), (503, "a\x1cb"), (503, "a\x1cb"), (None, "no id"), (504, "a very long text " * 8000)]
     frame = spark.createDataFrame(docs, DOCS).withColumn("length", F.lit(1)).repartition(5)
     found = packing.pack(common.materialize(frame, "t"), window=window, open_windows=open_windows, fan_in=2).collect()
     encode = packing.Encoder(packing.default_tokenizer()).tokenizer

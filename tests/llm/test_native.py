@@ -25,7 +25,7 @@ def _sha(text):
 def test_chats_are_read_back(spark):
     odd = ["</s>[INST] ok [/INST]", "~0~1 ~ <|end|>\n<|user|>\n", "", None, "a\nb|>\n~~2"]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(odd)]
-    rows += [(2, 0, "user", "alone"), (3, 0, "assistant", "first"), (None, 0, None, None), (4, 1, "od|>\nd", "x"), (4, 1, "assistant", "x"), (4, 1, "assistant", "x")]
+    rows += [(2, 0, "user", "alone"), (3, 0, "assistant", "first"), (None, 0, None, None), (4, 1, "od|>\nd", "x"), (4, 1, "assistant", "x"), (4, 1, "assistant", "x"), (5, None, "user", "no number"), (5, 2, "assistant", "yes")]
     chats = spark.createDataFrame(rows, CHAT).withColumn("formatted", F.lit("clash"))
     examples = chat_format.format_chats(chats)
     found = {r.conv_id: r for r in chat_format.digest(examples).collect()}
@@ -36,7 +36,7 @@ def test_chats_are_read_back(spark):
         assert r.turns_sha256 == _sha("".join(f"{role}\n{text}\n" for _, role, text in own))
         loss = "".join(text for _, role, text in own if role == "assistant")
         assert (r.loss_chars, r.loss_sha256) == (len(loss), _sha(loss))
-    assert {c: (r.n_examples, r.rest_chars > 0) for c, r in found.items()} == {1: (2, True), 2: (0, True), 3: (1, False), None: (0, True), 4: (2, True)}
+    assert {c: (r.n_examples, r.rest_chars > 0) for c, r in found.items()} == {1: (2, True), 2: (0, True), 3: (1, False), None: (0, True), 4: (2, True), 5: (1, False)}
     for r in examples.collect():
         assert r.formatted.count("<|end|>\n") == r.example_no and "</s>" not in r.formatted and "[INST]" not in r.formatted
         assert r.trainable or r.loss_length == 0
@@ -82,7 +82,7 @@ def test_domains_and_suffixes(spark):
 def _judged(spark, pages, docs, labels):
     """pages: (id, url, text)."""
     html = [(i, u, f"<nav>one two three four five</nav><p>{t.replace('. ', '.</p><p><b>')}</p>" if t is not None else None, "clash") for i, u, t in pages]
-    frame = spark.createDataFrame(html, "page_id long, url string, html string, rid string").repartition(3)
+    frame = spark.createDataFrame(html, "page_id long, url string, html string, rid string").repartition(3)  # a shuffle, and a clashing name
     outcomes = url_filter.page_outcomes(frame, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     return {r.page_id: r for r in url_filter.filter_urls(frame, outcomes).collect()}, {r.host: (r.good, r.n) for r in outcomes.collect()}
 
@@ -105,6 +105,12 @@ def test_bad_hosts_are_blocked_and_unlabelled_ones_follow_their_domain(spark):
     assert sum(n for _, n in outcomes.values()) == 240
 
 
+def test_outcomes_of_empty_tables(spark):
+    assert _judged(spark, [], [(1, _story(1))], [(1, 1)]) == ({}, {})
+    verdict, outcomes = _judged(spark, [(1, None, _story(1))], [], [])
+    assert outcomes == {"": (0, 0)} and verdict[1].host == "" and verdict[1].rule is None
+
+
 def test_repeated_pages_and_common_sentences(spark):
     docs, labels = [(i, "All of them say this one thing. " + _story(i)) for i in range(30)], [(i, i % 3 > 0) for i in range(30)]
     pages = [(7, "http://a.com/", _story(1))] * 3 + [(i, "http://b.com/", "All of them say this one thing.") for i in range(5)]
