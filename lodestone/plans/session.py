@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -11,6 +12,8 @@ from pyspark.sql import SparkSession
 
 #: Entries of the query-vector and the result cache.
 QUERY_CACHE, RESULT_CACHE = 48, 80
+#: Fixed value, in seconds: quiet time before a search.
+SEARCH_GAP = 0.075
 
 
 class BoundedCache:
@@ -52,25 +55,31 @@ class Superseded(Exception):
 
 class LiveSearch:
     """At most one search runs and one waits. A newer request replaces the one that
-    waits and cancels the jobs of the one that runs; a superseded search finds nothing."""
+    waits and cancels the jobs of the one that runs; a superseded search finds nothing.
+    A request that isn't ``immediate`` waits for ``gap`` seconds without another."""
 
-    def __init__(self, spark: SparkSession, run: Callable[[Any], Any]):
-        self.spark, self.run, self.lock, self.newest = spark, run, threading.Lock(), 0
+    def __init__(self, spark: SparkSession, run: Callable[[Any], Any], gap: float = SEARCH_GAP):
+        self.spark, self.run, self.gap, self.lock, self.newest = spark, run, gap, threading.Lock(), 0
         self.turn, self.running = threading.Lock(), ""
 
-    def search(self, request: Any) -> Any:
+    def search(self, request: Any, immediate: bool = False) -> Any:
         with self.lock:
             self.newest += 1
             own = self.newest
-            if self.running:
-                self.spark.interruptTag(self.running)
-        with self.turn:
+        if not immediate:
+            time.sleep(self.gap)
+        # again and again, as a search that runs may be about to start its next job
+        while not self.turn.acquire(timeout=0.1):
+            with self.lock:
+                if self.running and own == self.newest:
+                    self.spark.sparkContext.cancelJobsWithTag(self.running)
+        try:
             tag = f"live-search-{own}"
             with self.lock:
                 if own != self.newest:
                     raise Superseded
                 self.running = tag
-            self.spark.addTag(tag)
+            self.spark.sparkContext.addJobTag(tag)
             try:
                 found = self.run(request)
             except Exception:
@@ -78,9 +87,11 @@ class LiveSearch:
                     raise Superseded from None
                 raise
             finally:
-                self.spark.removeTag(tag)
+                self.spark.sparkContext.removeJobTag(tag)
                 with self.lock:
                     self.running = ""
+        finally:
+            self.turn.release()
         if own != self.newest:
             raise Superseded
         return found

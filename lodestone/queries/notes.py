@@ -235,6 +235,29 @@ APPLY_SQL = """SELECT 'n/' || doc_id || '.md' AS file, CASE WHEN doc_id % 10 IN
   md5(left(text || CASE WHEN doc_id % 10 = 2 THEN ' more' ELSE '' END, 20)) AS first, CASE WHEN doc_id % 10 IN (1, 2) THEN 64 ELSE 1 END AS dimension FROM documents WHERE doc_id % 10 <> 0 AND trim(text) <> ''"""
 
 
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _index(_notes(spark, sf_dir, False))
+    return index.status(before, index.classify(_notes(spark, sf_dir, True), before))
+
+
+STATUS_SQL = """SELECT count(*) FILTER (doc_id % 10 <> 1) AS files, count(*) FILTER (doc_id % 10 <> 1) AS passages, 0::BIGINT AS phrases,
+  count(*) FILTER (doc_id % 10 <> 0) AS vault_files, count(*) FILTER (doc_id % 10 < 4) AS stale_files, count(*) FILTER (doc_id % 10 >= 4) AS processed_files FROM documents"""
+
+
+def phrase_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of an index whose passages are sentences; a vector is a phrase's place."""
+    one = F.struct(
+        F.col("phrase"), F.lit("body"), F.lit(0), F.col("start"), F.col("start"), F.col("words"), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(0.1), F.array(F.col("pos").cast("smallint"))
+    ).cast(index_store.CANDIDATE)
+    grouped = _qualified(spark, sf_dir).groupBy("item_id", "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("c")))).alias("l"))
+    rows = grouped.select(F.lpad(F.col("item_id").cast("string"), 8, "0").alias("file"), F.col("sentence_id").alias("chunk_no"), F.transform("l", lambda x: x["c"]).alias("candidates"))
+    return embed.phrase_dictionary(rows).select("phrase_key", F.col("vector")[0].cast("int").alias("place"))
+
+
+DICTIONARY_SQL = f"""WITH {_NGRAMS}, g AS (SELECT lower(trim(phrase)) AS phrase_key, item_id, sentence_id, start * 4 + words AS pos FROM ng)
+SELECT phrase_key, arg_max(pos, (item_id, sentence_id, pos))::INTEGER AS place FROM g GROUP BY phrase_key"""
+
+
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = passages(spark, sf_dir)
     none = F.array().cast(f"array<{index_store.CANDIDATE}>")
@@ -330,6 +353,8 @@ QUERIES = {
     "phrase_pool": (phrase_pool, POOL_SQL),
     "classify_changes": (classify_changes, CLASSIFY_SQL),
     "apply_changes": (apply_changes, APPLY_SQL),
+    "index_status": (index_status, STATUS_SQL),
+    "phrase_dictionary": (phrase_dictionary, DICTIONARY_SQL),
     "index_stats": (index_stats, STATS_SQL),
     "index_validation": (index_validation, VALIDATE_SQL),
     "health_state": (health_state, HEALTH_SQL),

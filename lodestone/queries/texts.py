@@ -279,17 +279,30 @@ def in_note_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # are its occurrences from left to right; as each begins and ends with a whole word and no
 # phrase here can overlap itself, the greedy choice is: keep what meets no longer phrase.
 # Texts are split by each phrase: places, lines and line starts are sums over the pieces.
-IN_NOTE_SQL = f"""WITH ph AS (SELECT * FROM (VALUES ('and the', 1), ('of the', 3), ('thing', 4), ('the', 5)) t(p, r)),
-c AS (SELECT doc_id, p, r, string_split(lower(text), p) AS s FROM documents, ph WHERE contains(lower(text), p)),
+_MATCHED = f"""ph AS (SELECT * FROM (VALUES ('and the', 1), ('of the', 3), ('thing', 4), ('the', 5)) t(p, r)),
+c AS (SELECT doc_id, p, r, string_split(lower(text), p) AS s FROM src, ph WHERE contains(lower(text), p)),
 x AS (SELECT doc_id, p, r, unnest(s) AS x, unnest(range(len(s))) AS j, len(s) AS n FROM c),
 y AS (SELECT *, sum(length(x) + length(p)) OVER o - length(p) AS a, sum(length(x) - length(replace(x, {NL}, ''))) OVER o AS line, lead(x) OVER o AS next FROM x WINDOW o AS (PARTITION BY doc_id, p ORDER BY j)),
 z AS (SELECT *, max(CASE WHEN contains(x, {NL}) THEN a - length(string_split(x, {NL})[-1]) END) OVER (PARTITION BY doc_id, p ORDER BY j) AS begin FROM y),
 w AS (SELECT doc_id, p, r, a, a + length(p) AS b, line, a - coalesce(begin, 0) AS ch FROM z WHERE j < n - 1
   AND (CASE WHEN x <> '' THEN NOT regexp_matches(right(x, 1), '[\p{{L}}\p{{N}}]') ELSE j = 0 END) AND (CASE WHEN next <> '' THEN NOT regexp_matches(left(next, 1), '[\p{{L}}\p{{N}}]') ELSE j = n - 2 END)),
-k AS (SELECT x.* FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.r < x.r AND y.a < x.b AND x.a < y.b))
+k AS (SELECT x.* FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.r < x.r AND y.a < x.b AND x.a < y.b))"""
+IN_NOTE_SQL = f"""WITH src AS (SELECT doc_id, text FROM documents), {_MATCHED}
 SELECT doc_id, a::BIGINT AS "from", b::BIGINT AS "to", p AS text, line::INTEGER AS line, ch::INTEGER AS ch FROM k"""
 
 
+def node_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's lines as text nodes."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    nodes = lines.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("node_id"), "text")
+    return media.node_matches(nodes, F.array(*map(F.lit, ("and the", "of the", "thing", "The")))).withColumn("text", F.lower("text"))
+
+
+NODE_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, {NL})) AS text, unnest(range(len(string_split(text, {NL})))) AS n FROM documents),
+src AS (SELECT doc_id * 1000000 + n AS doc_id, text FROM l), {_MATCHED}
+SELECT doc_id AS node_id, a::BIGINT AS "from", b::BIGINT AS "to", p AS text FROM k"""
+
+
 def offset_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     at = T.offset_to_position(F.col("text"), half)
@@ -369,6 +382,7 @@ QUERIES = {
     "snippets": (snippets, SNIPPETS_SQL),
     "mark_up": (mark_up, MARK_SQL),
     "in_note_matches": (in_note_matches, IN_NOTE_SQL),
+    "node_matches": (node_matches, NODE_SQL),
     "offset_position": (offset_position, OFFSET_SQL),
     "formatters": (formatters, FORMATTERS_SQL),
     "normalize_query": (normalize_query, NORMALIZE_SQL),

@@ -104,6 +104,37 @@ def test_settings_and_sessions(spark):
     assert not session.searchable(" a ")
 
 
+def test_a_newer_search_cancels_the_one_that_runs(spark):
+    import threading
+    import time
+
+    @F.udf("long")
+    def slowly(x):
+        time.sleep(8)
+        return x
+
+    def run(request):
+        return spark.range(4, numPartitions=4).select(slowly("id")).collect() if request == "slow" else request
+
+    live, seen = session.LiveSearch(spark, run, gap=0.01), []
+
+    def first():
+        try:
+            seen.append(live.search("slow", immediate=True))
+        except session.Superseded:
+            seen.append("superseded")
+
+    thread = threading.Thread(target=first)
+    thread.start()
+    while not live.running:
+        time.sleep(0.05)
+    time.sleep(1.5)
+    began = time.monotonic()
+    assert live.search("quick") == "quick" and time.monotonic() - began < 6
+    thread.join()
+    assert seen == ["superseded"]
+
+
 def test_matches_equal_a_plain_regex():
     import random
     import re
