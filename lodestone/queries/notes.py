@@ -90,7 +90,35 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by the built-in tagger."""
-    return phrases.candidates(_items(spark, sf_dir))
+    return phrases.candidates(_items(spark, sf_dir)).withColumn("quality", F.round("quality", 6))
+
+
+# Fixed values for SQL: the tagger's words, and nouns that are too general alone.
+_VERBS = _LIST("is are was be do does go make take teach read write give find keep raise require oppose".split())
+_GENERIC = _LIST("answer concept example fact idea kind part point question section thing thought type way".split())
+_TAG = f"""CASE WHEN lower(x) IN ('oh', 'hello', 'wow', 'please', 'thanks', 'yes', 'ok') THEN 'e' WHEN lower(x) IN ({_LIST(STOPS)}) THEN 'f'
+  WHEN lower(x) IN ({_VERBS}) OR ({lemma_sql('x')}) IN ({_VERBS}) OR ({lemma_sql('x')}) || 'e' IN ({_VERBS}) THEN 'v'
+  WHEN regexp_matches(lower(x), '(ous|ful|ive|able|ible|al|ic|less|ish)$') THEN 'a' WHEN lower(x) LIKE '%ly' THEN 'r' ELSE 'n' END"""
+_CANDIDATES = f"""{_BENCH_SAMPLED}, fz AS (SELECT item_id, 'body' AS field, sentence_id, sentence FROM z
+  UNION ALL SELECT item_id, 'filename', 0, 'Item ' || item_id FROM benchmark UNION ALL SELECT item_id, 'heading', 0, 'On the whole' FROM benchmark),
+fw AS (SELECT item_id, field, sentence_id, regexp_extract_all(sentence, '{_WORD_SQL}') AS w FROM fz),
+fx AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '[.,!?]+$', '')) AS t, list_transform(w, lambda x: {lemma_sql('x')}) AS l FROM fw),
+ft AS (SELECT *, list_transform(t, lambda x: {_TAG}) AS g, list_transform(l, lambda x: x IN ({_LIST(STOPS)})) AS s FROM fx),
+fs AS (SELECT *, unnest(range(len(w)))::INTEGER AS start FROM ft), fn AS (SELECT *, unnest([1, 2, 3])::INTEGER AS words FROM fs),
+fr AS (SELECT item_id, field, sentence_id, start, words, array_to_string(t[start + 1 : start + words], ' ') AS phrase, l[start + 1 : start + words] AS l, g[start + 1 : start + words] AS g, s[start + 1 : start + words] AS s
+  FROM fn WHERE start + words <= len(w)),
+fh AS (SELECT *, list_contains(g, 'n') AS noun, list_contains(g, 'v') AS verb, list_contains(g, 'e') AS expr, list_contains(g, 'a') AS adj, list_position(g, 'n') AS pn, list_position(g, 'v') AS pv FROM fr),
+fq AS (SELECT *, CASE WHEN noun THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN pv > 0 AND pn > 0 AND pv < pn THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN noun AND adj THEN 0.06::DOUBLE ELSE 0 END
+  + CASE WHEN expr THEN 0.07::DOUBLE ELSE 0 END + CASE words WHEN 2 THEN 0.05::DOUBLE WHEN 3 THEN 0.03::DOUBLE ELSE 0 END AS quality FROM fh
+  WHERE (NOT s[1] OR (words > 1 AND l[1] IN ('a', 'an', 'the'))) AND NOT s[-1] AND len(list_filter(s, lambda x: NOT x)) > 0 AND length(phrase) BETWEEN 3 AND 60
+  AND CASE WHEN words = 1 THEN (noun OR verb OR expr) AND l[1] NOT IN ({_GENERIC}) ELSE noun OR expr END),
+fk AS (SELECT *, row_number() OVER (PARTITION BY item_id, field, sentence_id, words > 1 ORDER BY quality DESC, words DESC, start * 4 + words) AS r FROM fq),
+fl AS (SELECT *, row_number() OVER (PARTITION BY item_id, field, sentence_id ORDER BY (words > 1) DESC, r) AS level FROM fk WHERE r <= CASE WHEN words > 1 THEN 3 ELSE 5 END),
+fi AS (SELECT *, row_number() OVER (PARTITION BY item_id, field ORDER BY level, sentence_id) AS turn FROM fl QUALIFY turn <= CASE field WHEN 'body' THEN 24 ELSE 8 END),
+fd AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY item_id, field, lower(phrase) ORDER BY turn) = 1)"""
+CANDIDATES_SQL = f"""WITH {_CANDIDATES} SELECT item_id AS passage_id, field, sentence_id::INTEGER AS sentence_id, phrase, start, start + words - 1 AS "end", words, noun AS has_noun, verb AS has_verb, expr AS has_expression,
+  adj AND NOT noun AND NOT verb AS adjective_only, round(quality, 6) AS quality,
+  (row_number() OVER (PARTITION BY item_id ORDER BY CASE field WHEN 'filename' THEN 0 WHEN 'heading' THEN 1 ELSE 2 END, turn) - 1)::INTEGER AS pos FROM fd"""
 
 
 def phrase_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +127,9 @@ def phrase_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("phrase_key", F.size("vector").alias("n"))
 
 
+VECTORS_SQL = f"WITH {_CANDIDATES} SELECT DISTINCT lower(trim(phrase)) AS phrase_key, 64 AS n FROM fd"
+
+
 def _candidates_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without tags, each with the vector of a row of ``embeddings``."""
     rows = _qualified(spark, sf_dir).withColumns({"passage_id": F.col("item_id"), "end": F.col("start") + F.col("words") - 1, "vec_id": (F.col("item_id") * 31 + F.col("pos") + F.col("sentence_id") * 7) % 500})
@@ -344,8 +375,8 @@ QUERIES = {
     "candidate_topk": (candidate_topk, TOPK_SQL),
     "candidate_interleave": (candidate_interleave, INTERLEAVE_SQL),
     "dedupe_candidates": (dedupe_candidates, DEDUPE_SQL),
-    "phrase_candidates": (phrase_candidates, None),
-    "phrase_vectors": (phrase_vectors, None),
+    "phrase_candidates": (phrase_candidates, CANDIDATES_SQL),
+    "phrase_vectors": (phrase_vectors, VECTORS_SQL),
     "highlight_scores": (highlight_scores, HIGHLIGHT_SQL),
     "highlight_select": (highlight_select, SELECT_SQL),
     "group_results": (group_results, GROUP_SQL),
