@@ -285,7 +285,7 @@ x AS (SELECT doc_id, p, r, unnest(s) AS x, unnest(range(len(s))) AS j, len(s) AS
 y AS (SELECT *, sum(length(x) + length(p)) OVER o - length(p) AS a, sum(length(x) - length(replace(x, {NL}, ''))) OVER o AS line, lead(x) OVER o AS next FROM x WINDOW o AS (PARTITION BY doc_id, p ORDER BY j)),
 z AS (SELECT *, max(CASE WHEN contains(x, {NL}) THEN a - length(string_split(x, {NL})[-1]) END) OVER (PARTITION BY doc_id, p ORDER BY j) AS begin FROM y),
 w AS (SELECT doc_id, p, r, a, a + length(p) AS b, line, a - coalesce(begin, 0) AS ch FROM z WHERE j < n - 1
-  AND (CASE WHEN x <> '' THEN NOT regexp_matches(right(x, 1), '[\p{{L}}\p{{N}}]') ELSE j = 0 END) AND (CASE WHEN next <> '' THEN NOT regexp_matches(left(next, 1), '[\p{{L}}\p{{N}}]') ELSE j = n - 2 END)),
+  AND (CASE WHEN x <> '' THEN NOT regexp_matches(right(x, 1), '[\\p{{L}}\\p{{N}}]') ELSE j = 0 END) AND (CASE WHEN next <> '' THEN NOT regexp_matches(left(next, 1), '[\\p{{L}}\\p{{N}}]') ELSE j = n - 2 END)),
 k AS (SELECT x.* FROM w x WHERE NOT EXISTS (SELECT 1 FROM w y WHERE y.doc_id = x.doc_id AND y.r < x.r AND y.a < x.b AND x.a < y.b))"""
 IN_NOTE_SQL = f"""WITH src AS (SELECT doc_id, text FROM documents), {_MATCHED}
 SELECT doc_id, a::BIGINT AS "from", b::BIGINT AS "to", p AS text, line::INTEGER AS line, ch::INTEGER AS ch FROM k"""
