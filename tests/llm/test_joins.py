@@ -111,6 +111,53 @@ def test_long_chains_are_one_component(spark):
     assert found == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+@pytest.mark.parametrize("kind", ["long", "binary", "string", "int"])
+def test_one_task_finds_the_components_that_the_steps_find(spark, monkeypatch, kind):
+    random.seed(5)
+    plain = [(random.randrange(400), random.randrange(400)) for _ in range(260)] + [(7, 7), (3, 4), (4, 3)]
+    name = {"binary": lambda i: bytearray(bytes([255 - i // 2, i % 251])), "string": lambda i: f"é{i}" if i % 3 else f"z{i}"}.get(kind, lambda i: i - 200)
+    edges = spark.createDataFrame([(name(u), name(v)) for u, v in plain], f"u {kind}, v {kind}").repartition(5)
+    found = []
+    for most in (components.ONE_TASK_EDGES, 0):
+        monkeypatch.setattr(components, "ONE_TASK_EDGES", most)
+        found.append(sorted((r.u, r.v) for r in components.components(edges).collect()))
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_components_of_documents_by_steps_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", 0)
+    docs = _near_documents()
+    found = ngram_join.jaccard_components(spark.createDataFrame(docs, DOCS).repartition(6)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == _components(docs)
+
+
+def test_small_tables_take_few_jobs(spark):
+    """Where tables are small, or a shuffle has many partitions, each job costs its start."""
+    frame = spark.createDataFrame(_near_documents(), DOCS).repartition(6)
+    spark.sparkContext.setJobGroup("few jobs", "a join of few documents")
+    try:
+        ngram_join.jaccard_components(frame).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) <= 70
+
+
+def test_rounds_without_a_link_keep_their_lists(spark, monkeypatch):
+    """Texts that share a passage, but no 80 %, and near copies of each: a round with hubs links
+    nothing, so components and lists are what they were."""
+    random.seed(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = random.choices(vocabulary, k=60)
+    docs = [(i, " ".join(passage + random.choices(vocabulary, k=12 + i % 3))) for i in range(60)]
+    docs += [(100 + i, " ".join(t.split()[:-1])) for i, t in docs]
+    tags, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag, *rest: tags.append(tag) or write(df, tag, *rest))
+    found = ngram_join.jaccard_components(spark.createDataFrame(docs, DOCS).repartition(3), rounds=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == _components(docs)
+    assert tags.count("hubs") == 2 and tags.count("others") == 1  # a round without a link, then the last
+    assert tags.count("main") == 1 and tags.count("listed") == 1
+
+
 def _top(rows, k):
     valid = [(i, [math.floor(64 * x) for x in v], n) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
